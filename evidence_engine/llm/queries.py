@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from evidence_engine.llm import bpe, token_files
+from pyspark.sql import functions as F
+
+from evidence_engine.llm import bpe, mixing, token_files, top_k, url_filter
 from evidence_engine.llm.common import documents
 
 
@@ -20,5 +22,47 @@ def op7_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op7_bpe)}
-ORACLES: dict[str, str] = {}
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+def op5_mixing(spark, sf_dir):
+    return mixing.taken(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
+def op10_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_url_filter, op5_mixing, op7_bpe, op10_top_k)}
+ORACLES: dict[str, str] = {
+    "op5_mixing": """
+        with sized as (
+          select doc_id, coalesce(source, '') src, source is null no_source,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size,
+                 ('0x' || substr(md5('17:' || doc_id), 1, 15))::bigint key from documents),
+        totals as (select src, no_source, sum(size)::bigint source_size, 2.0::double * sum(size)::double cap from sized group by all),
+        weighed as (select *, list_extract([3.0::double, 1, 2], ((row_number() over (order by no_source, src)) - 1) % 3 + 1) weight from totals),
+        levels as (
+          select *, cap / weight fills_at, (sum(source_size) over ())::double * 1.5::double wanted from weighed),
+        level as (
+          select *, (wanted - coalesce(sum(cap) over (order by fills_at, no_source, src rows between unbounded preceding and 1 preceding), 0))
+                    / sum(weight) over (order by fills_at, no_source, src rows between current row and unbounded following) level from levels),
+        goal as (select src, no_source, source_size, least(cap, coalesce((select arg_min(level, (fills_at, no_source, src)) from level where level <= fills_at), 0) * weight) target from level),
+        placed as (
+          select *, coalesce(sum(size) over (partition by no_source, src order by key, doc_id rows between unbounded preceding and 1 preceding), 0) before_
+          from sized join goal using (src, no_source)),
+        epochs as (select *, case when source_size > 0 then round(target)::bigint // source_size else 0 end epochs from placed)
+        select doc_id, size::bigint size, source_size, target,
+               (epochs * size + greatest(0, least(size, round(target)::bigint - epochs * source_size - before_)))::bigint taken from epochs""",
+    "op10_top_k": """
+        with whole as (
+          select vec_id, [floor(256 * x::double) for x in embedding] x from embeddings
+          where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+          select q.vec_id query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint score
+          from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 5""",
+}

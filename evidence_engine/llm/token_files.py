@@ -16,16 +16,18 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.llm.common import open_input, open_output, parallelism, shared_dir, written
+from evidence_engine.llm.pieces import PieceEncoder, slices
 
 #: The public seekable format's numbers.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
-DOCS_PER_FILE = 20_000
+DOCS_PER_FILE = 5_000
 FRAME = "doc_id long, file long, n_tokens long, crc32 long, frame binary, n_bytes long, xxh32 long"
 MANIFEST = "file long, path string, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -97,32 +99,15 @@ class FileReader:
         self.file.close()
 
 
-class ChunkEncoder:
-    """The tokenizers library over whole texts, with a bounded memory of what it has encoded.
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The tokenizers library with this file, and its memory of pieces; both last as long as the Python worker."""
+    from tokenizers import Tokenizer
 
-    The normaliser and the pre-tokeniser of this vocabulary never look across a space or a line break,
-    so that the pieces between them can be encoded one by one and joined.
-    """
-
-    def __init__(self, path: str, keep: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.keep, self.known = keep, {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > self.keep:
-            self.known = {}
-        known = self.known
-        fresh = list({c for chunks in split for c in chunks if c not in known})
-        for chunk, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[chunk] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer, PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int], level: int = 3) -> DataFrame:
@@ -138,17 +123,18 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int]
         import xxhash
         import zstandard
 
-        encoder = ChunkEncoder(tokenizer_path)
-        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        tokenizer, encoder = library(tokenizer_path)
+        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         zip_ = zstandard.ZstdCompressor(level=level)
-        end = np.asarray([end_id], "<u4").tobytes()
+        end, short_end = np.asarray([end_id], "<u4").tobytes(), np.asarray([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch, "text"):
                 ids, out = part.column(0).to_pylist(), [[], [], [], [], []]
-                for raw in encoder.encode(part.column(1).to_pylist()):
-                    raw += end
-                    body = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+                codes, ends = encoder.texts(part.column(1).to_pylist())
+                short = codes.astype(f"<u{width}")
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    raw = codes[a:b].tobytes() + end
+                    body = short[a:b].tobytes() + short_end
                     for to, x in zip(out, (len(raw) // 4, zlib.crc32(raw), zip_.compress(body), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF), strict=True):
                         to.append(x)
                 files = [0 if d is None else bisect_right(bounds, d) for d in ids]
