@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidence_engine.llm.pieces import PieceEncoder, slices
+
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 END = "</w>"
 
@@ -34,7 +37,7 @@ def byte_letters() -> dict[int, str]:
 class WordCodec:
     """Encoder and decoder of one vocabulary file whose tokens end words with a suffix mark."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str):
         import ahocorasick
         import regex
 
@@ -71,7 +74,6 @@ class WordCodec:
             self.automaton.add_word(word, (len(word), k))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.keep, self.known = keep, {}
 
     @staticmethod
     def symbols(token: str) -> str:
@@ -151,38 +153,25 @@ class WordCodec:
         """The tokens' strings with spaces between them: the vocabulary file names no decoder. Unknown ids are left out."""
         return " ".join(self.surface[int(i)] for i in ids if int(i) in self.surface)
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers; pieces between spaces are remembered, up to a bound."""
-        import struct
 
-        known, out = self.known, []
-        for t in texts:
-            if len(known) > self.keep:
-                known = self.known = {}
-            chunks = t.replace("\n", " ").split(" ") if t else []
-            for c in chunks:
-                if c not in known:
-                    ids = self.chunk(c)
-                    known[c] = struct.pack(f"<{len(ids)}I", *ids)
-            out.append(b"".join(map(known.__getitem__, chunks)))
-        return out
+@lru_cache(maxsize=2)
+def codec(path: str) -> tuple[WordCodec, PieceEncoder]:
+    """A vocabulary's codec and its memory of pieces; both last as long as the Python worker."""
+    words = WordCodec(path)
+    return words, PieceEncoder(lambda pieces: [words.chunk(p) if p else [] for p in pieces])
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        codec = WordCodec(tokenizer_path)
+        encoder = codec(tokenizer_path)[1]
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                raw = codec.encode_many(part.column(1).to_pylist())
-                ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+            for part in slices(batch, "text"):
+                ids, ends = encoder.texts(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype("i4")))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -193,9 +182,9 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        codec = WordCodec(tokenizer_path)
+        words = codec(tokenizer_path)[0]
         for batch in batches:
-            texts = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            texts = [words.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded string")
@@ -210,17 +199,18 @@ def round_trip(docs: DataFrame, tokenizer_path: str, keep_columns: bool = False)
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        codec = WordCodec(tokenizer_path)
-        surface = [codec.surface.get(i, "") for i in range(max(codec.surface) + 1)]
+        words, encoder = codec(tokenizer_path)
+        surface = pa.array([words.surface.get(i, "") for i in range(max(words.surface) + 1)])
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                n, a, b = [], [], []
-                for raw in codec.encode_many(part.column("text").to_pylist()):
-                    n.append(len(raw) // 4)
-                    a.append(sha256(raw).hexdigest())
-                    b.append(sha256(" ".join(map(surface.__getitem__, np.frombuffer(raw, "<u4").tolist())).encode("utf-8")).hexdigest())
+            for part in slices(batch, "text"):
+                ids, ends = encoder.texts(part.column("text").to_pylist())
+                n, a, b = np.diff(ends), [], []
+                decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), surface.take(pa.array(ids))), " ")
+                for start, end, text in zip(ends[:-1].tolist(), ends[1:].tolist(), decoded, strict=True):
+                    a.append(sha256(ids[start:end]).hexdigest())
+                    b.append(sha256(text.as_buffer()).hexdigest())
                 kept = part.columns if keep_columns else [part.column("doc_id")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [*(part.schema.names if keep_columns else ["doc_id"]), "n_tokens", "ids_sha256", "decoded_sha256"])
 

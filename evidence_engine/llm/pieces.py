@@ -20,28 +20,51 @@ def plain(text: str) -> str:
     return text.replace("\n", " ")
 
 
+#: Signs that are neither letters, digits nor white space.
+SIGNS = ".,;:!?*$%&#|)]"
+#: Longer pieces are encoded each time.
+LONGEST = 256
+
+
 class PieceEncoder:
     """Ids of whole texts from an encoder of pieces, which it asks once for each piece that it doesn't remember.
 
     The vocabulary's normaliser and pre-tokeniser must not look across spaces and line breaks. Two
-    generations of at most keep pieces are remembered; what is used moves to the younger one.
+    generations of pieces are remembered, each of about keep to twice as many.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], keep: int = 120_000):
         self.encode, self.keep, self.young, self.old = encode, keep, {}, {}
 
     def known(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
+        from array import array
 
         if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         found = [young.get(p) or old.get(p) for p in pieces]
-        fresh = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(fresh, self.encode([pieces[k] for k in fresh]), strict=True):
-            found[k] = np.asarray(ids, "<u4").tobytes()
+        # A run of letters and the signs behind it are words of their own: the letters are asked for once.
+        split, wanted = [], {}
+        for k, ids in enumerate(found):
+            if ids is None:
+                piece = pieces[k]
+                letters = piece.rstrip(SIGNS)
+                if letters != piece and letters.isalpha():
+                    signs = piece[len(letters) :]
+                    split.append((k, letters, signs))
+                    wanted[letters] = young.get(letters) or old.get(letters)
+                    wanted[signs] = young.get(signs) or old.get(signs)
+                else:
+                    split.append((k, piece, None))
+                    wanted[piece] = None
+        fresh = [part for part, ids in wanted.items() if ids is None]
+        wanted.update(zip(fresh, [array("I", ids).tobytes() for ids in self.encode(fresh)], strict=True))
+        for k, piece, signs in split:
+            found[k] = wanted[piece] if signs is None else wanted[piece] + wanted[signs]
         if len(young) < 2 * self.keep:
-            young.update((p, ids) for p, ids in zip(pieces, found, strict=True) if len(p) < 64)
+            if max(map(len, wanted), default=0) > LONGEST:
+                wanted = {p: ids for p, ids in wanted.items() if len(p) <= LONGEST}
+            young.update(wanted)
         return found
 
     def texts(self, texts: list[str | None]):
@@ -65,7 +88,7 @@ class PieceEncoder:
         return ids, stop[ends]
 
 
-def slices(batch, column: str, most: int = 8 << 20, rows: int = 4000) -> Iterator:
+def slices(batch, column: str, most: int = 16 << 20, rows: int = 8000) -> Iterator:
     """The batch in parts of about most bytes of text."""
     import numpy as np
     import pyarrow.compute as pc

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import bpe, mixing, token_files, top_k, url_filter
+from evidence_engine.llm import bpe, mixing, quality, token_files, top_k, url_filter
 from evidence_engine.llm.common import documents
 
 
@@ -30,12 +30,16 @@ def op5_mixing(spark, sf_dir):
     return mixing.taken(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.judged(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_top_k(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_url_filter, op5_mixing, op7_bpe, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_url_filter, op5_mixing, op7_bpe, op9_quality, op10_top_k)}
 ORACLES: dict[str, str] = {
     "op5_mixing": """
         with sized as (
