@@ -85,3 +85,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a table of written() that nothing reads any more."""
+    spark = table.sparkSession
+    for f in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

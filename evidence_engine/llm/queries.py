@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import bpe, mixing, pii, quality, token_files, top_k, url_filter
+from evidence_engine.llm import bpe, jaccard_join, mixing, pii, quality, token_files, top_k, url_filter
 from evidence_engine.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op5_mixing(spark, sf_dir):
     return mixing.taken(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judged(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,7 +47,7 @@ def op10_top_k(spark, sf_dir):
     return top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_files, op4_url_filter, op5_mixing, op7_bpe, op9_quality, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_token_files, op4_url_filter, op5_mixing, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
 ORACLES: dict[str, str] = {
     "op5_mixing": """
         with sized as (
@@ -64,6 +68,19 @@ ORACLES: dict[str, str] = {
         epochs as (select *, case when source_size > 0 then round(target)::bigint // source_size else 0 end epochs from placed)
         select doc_id, size::bigint size, source_size, target,
                (epochs * size + greatest(0, least(size, round(target)::bigint - epochs * source_size - before_)))::bigint taken from epochs""",
+    "op8_jaccard_join": """
+        with recursive words as (
+          select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+        shingles as (
+          select distinct doc_id, unnest(case when w is null or len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                                              else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end) s from words),
+        sizes as (select doc_id, count(*) n from shingles group by doc_id),
+        common as (select a.doc_id a, b.doc_id b, count(*) c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+        links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        reach as (select doc_id, doc_id as root from sizes union select l.b, r.root from reach r join links l on l.a = r.doc_id where r.root < l.b),
+        least as (select doc_id, min(root) root from reach group by doc_id)
+        select d.doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(root, d.doc_id) component_id
+        from documents d left join sizes s on s.doc_id = d.doc_id left join least r on r.doc_id = d.doc_id""",
     "op10_top_k": """
         with whole as (
           select vec_id, [floor(256 * x::double) for x in embedding] x from embeddings
