@@ -84,11 +84,13 @@ class PieceEncoder:
         n = sizes[at]
         stop = np.concatenate([[0], np.cumsum(n)])
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        ids = flat[np.repeat(first[at] - stop[:-1], n) + np.arange(stop[-1])]
+        place = np.repeat((first[at] - stop[:-1]).astype("i4"), n)
+        place += np.arange(len(place), dtype="i4")
+        ids = flat[place]
         return ids, stop[ends]
 
 
-def slices(batch, column: str, most: int = 16 << 20, rows: int = 8000) -> Iterator:
+def slices(batch, column: str, most: int = 5 << 20, rows: int = 8000) -> Iterator:
     """The batch in parts of about most bytes of text."""
     import numpy as np
     import pyarrow.compute as pc
