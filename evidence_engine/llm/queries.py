@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import bpe, jaccard_join, mixing, pii, quality, token_files, top_k, url_filter
+from evidence_engine.llm import bpe, context_tree, jaccard_join, mixing, pii, quality, token_files, top_k, url_filter
 from evidence_engine.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op3_token_files(spark, sf_dir):
     return token_files.tokenize(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file())
 
 
+def op6_context_tree(spark, sf_dir):
+    return context_tree.scored(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file())
 
@@ -47,7 +51,7 @@ def op10_top_k(spark, sf_dir):
     return top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_files, op4_url_filter, op5_mixing, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_token_files, op4_url_filter, op5_mixing, op6_context_tree, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
 ORACLES: dict[str, str] = {
     "op5_mixing": """
         with sized as (

@@ -121,7 +121,10 @@ def ask(shards: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]])
 
 
 def answer(questions: DataFrame, answering: Callable[[list[bytes]], list[bytes]], tasks: int) -> DataFrame:
-    """answering(blobs of one bucket) gives a blob for each; rows are (bucket, shard, blob)."""
+    """answering(blobs of one bucket) gives a blob for each; rows are (bucket, shard, blob).
+
+    One blob more than it got is a summary of the bucket; its row has shard -1.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -140,7 +143,8 @@ def answer(questions: DataFrame, answering: Callable[[list[bytes]], list[bytes]]
 
         for bucket, rows in groups():
             blobs = answering([r[1] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "shard", "blob"])
+            to = [*(r[0] for r in rows), -1][: len(blobs)]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(to), pa.int64()), pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "shard", "blob"])
 
     return questions.repartition(tasks, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, PART)
 
