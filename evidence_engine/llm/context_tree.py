@@ -238,7 +238,7 @@ def scored(docs: DataFrame) -> DataFrame:
     mass = train_tokens + 0.5 * (vocabulary + 1)
     shared = spark.sparkContext.broadcast(model(shards))
 
-    def telling(ids, ends_of, raw, answers):
+    def telling(ids, ends_of, raw, answers, shard):
         import numpy as np
         import pyarrow as pa
 

@@ -141,7 +141,7 @@ def prefixes(shards: DataFrame, answers: DataFrame, n: int, bits: int, bucket_bi
     """SETS: every document's set; of a shard's distinct sets also the index entries, and all shingles if there are any."""
     shift = bits - bucket_bits
 
-    def telling(ids, ends, raw, answers):
+    def telling(ids, ends, raw, answers, shard):
         import numpy as np
         import pyarrow as pa
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import bpe, context_tree, jaccard_join, mixing, pii, quality, token_files, top_k, url_filter
+from evidence_engine.llm import bpe, context_tree, jaccard_join, mixing, pii, quality, suffix_dedup, token_files, top_k, url_filter
 from evidence_engine.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.spans(documents(spark, sf_dir, "doc_id", "text")).drop("spans", "kept")
+
+
 def op2_pii(spark, sf_dir):
     return pii.found(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -51,7 +55,7 @@ def op10_top_k(spark, sf_dir):
     return top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_files, op4_url_filter, op5_mixing, op6_context_tree, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_token_files, op4_url_filter, op5_mixing, op6_context_tree, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
 ORACLES: dict[str, str] = {
     "op5_mixing": """
         with sized as (

@@ -150,7 +150,7 @@ def answer(questions: DataFrame, answering: Callable[[list[bytes]], list[bytes]]
 
 
 def told(shards: DataFrame, answers: DataFrame, telling: Callable, schema: str) -> DataFrame:
-    """telling(ids, ends, raw, blobs by bucket) yields record batches for a shard that has its answers."""
+    """telling(ids, ends, raw, blobs by bucket, shard) yields record batches for a shard that has its answers."""
     gathered = answers.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "blob"))).alias("answers"))
     rows = shards.select("shard", "doc_ids", "sizes", "texts").join(gathered, "shard", "left")
 
@@ -158,8 +158,8 @@ def told(shards: DataFrame, answers: DataFrame, telling: Callable, schema: str)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                ids, sizes, texts, answers = (row.column(c).to_pylist()[0] for c in ("doc_ids", "sizes", "texts", "answers"))
-                yield from telling(*opened(ids, sizes, texts), dict(answers or []))
+                shard, ids, sizes, texts, answers = (row.column(c).to_pylist()[0] for c in ("shard", "doc_ids", "sizes", "texts", "answers"))
+                yield from telling(*opened(ids, sizes, texts), dict(answers or []), shard)
 
     return rows.mapInArrow(run, schema)
 
