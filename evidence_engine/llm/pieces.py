@@ -33,7 +33,7 @@ class PieceEncoder:
     generations of pieces are remembered, each of about keep to twice as many.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], keep: int = 120_000):
+    def __init__(self, encode: Callable[[list[str]], list], keep: int = 200_000):
         self.encode, self.keep, self.young, self.old = encode, keep, {}, {}
 
     def known(self, pieces: list[str]) -> list[bytes]:
@@ -90,7 +90,7 @@ class PieceEncoder:
         return ids, stop[ends]
 
 
-def slices(batch, column: str, most: int = 5 << 20, rows: int = 8000) -> Iterator:
+def slices(batch, column: str, most: int = 8 << 20, rows: int = 8000) -> Iterator:
     """The batch in parts of about most bytes of text."""
     import numpy as np
     import pyarrow.compute as pc
