@@ -5,12 +5,12 @@ document frequency, and sets are ordered rarest first, so that a set whose rares
 asks nobody (a shingle of frequency 1 is in no list). Of the rest only the prefix that a partner must share
 goes into index lists.
 
-Lists are cut into blocks by position and size. Two entries of a list can reach the threshold only if what
-follows them is long enough, so blocks are compared first, and whole blocks are skipped by that bound. And
-a set's answers come from those of a highly similar set: in each list all entries are compared with its
-leader; what links to the same component needs no answer of its own, and of the others only pairs of
-blocks that hold different components and whose distances to the leader differ by no more than the
-triangle inequality allows are compared.
+Lists are cut into blocks by position. Two entries of a list can reach the threshold only if what follows
+them is long enough, so an entry visits only the blocks that this bound allows and skips the rest. And a
+set's answers come from those of a highly similar set: in each list all entries are compared with its
+leader; what links to the same component needs no answer of its own, and of the others only those are
+compared whose distances to the leader differ by no more than the triangle inequality allows and whose
+sketches don't rule the link out.
 
 Links are judged by counting, with no estimate anywhere: 100 * common >= percent * union. Shingles are
 64-bit hashes of words.
@@ -34,9 +34,9 @@ from evidence_engine.llm.components import components
 
 MULTIPLY = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Positions in a block, and blocks a list's block is dealt to.
-BLOCK = 8
-SETS = "doc_id long, n long, key binary, entries array<struct<token:long,pos:int>>, tokens array<long>"
+#: Blocks that the positions of a whole set would have, and 64-bit words of a sketch.
+BLOCKS, WORDS = 32, 16
+SETS = "doc_id long, n long, key binary, entries array<struct<token:long,pos:int>>, tokens array<long>, bits array<long>"
 
 
 def mixed(x):
@@ -153,7 +153,7 @@ def prefixes(shards: DataFrame, answers: DataFrame, n: int, bits: int, bucket_bi
         for b, blob in answers.items():
             where, times = map(S.unpack, S.split_blobs(blob))
             frequency[cuts[b] + np.cumsum(where).astype("i8")] = times.astype("i8")
-        entries, tokens = [None] * len(sets), [None] * len(sets)
+        entries, tokens, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
         for k in first.values():
             s = sets[k]
             mine = frequency[np.searchsorted(prints, s >> np.uint64(64 - bits))]
@@ -164,9 +164,11 @@ def prefixes(shards: DataFrame, answers: DataFrame, n: int, bits: int, bucket_bi
             at = np.flatnonzero(mine[order] > 1)
             entries[k] = [{"token": t, "pos": i} for t, i in zip(s[order[at]].view("i8").tolist(), at.tolist(), strict=True)]
             tokens[k] = s.view("i8")
+            odd = np.bincount((s * np.uint64(MULTIPLY[0])) >> np.uint64(54), minlength=64 * WORDS) & 1
+            sketches[k] = np.packbits(odd.astype("u1")).view("i8")
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([k or None for k in keys], pa.binary()), pa.array(entries, pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))), pa.array(tokens, pa.list_(pa.int64()))],
-            ["doc_id", "n", "key", "entries", "tokens"],
+            [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([k or None for k in keys], pa.binary()), pa.array(entries, pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+            ["doc_id", "n", "key", "entries", "tokens", "bits"],
         )
 
     return S.told(shards, answers, telling, SETS)
@@ -187,36 +189,36 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """token, leader and every entry of its list that could link to it."""
-    leaders = entries.groupBy("token").agg(F.min(F.struct("n", "key", "pos")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", "l")
+    """token, leader and every entry of its list that could link to it. A list's leader has it earliest of all."""
+    leaders = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", "l")
     return entries.join(leaders, "token").select("token", F.col("l.key").alias("a"), F.col("key").alias("b"), F.struct("n", "pos").alias("e"), "l").where("a <> b").where(can_reach(percent, "l", "e")).select("token", "a", "b")
 
 
 def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of keys that blocks leave over, of different components.
+    """Pairs of keys of different components that blocks leave over.
 
-    entries: token, key, n, pos, component and, where the leader was compared, distance.
+    entries: token, key, n, pos, component, bits and, where the leader was compared, distance. Lists are cut
+    into blocks by relative position. How far back a partner can stand follows from an entry's size and
+    position, so an entry goes to those blocks alone, at most as many as BLOCKS, and the join skips the rest.
+    Sketches bound the difference of two sets from below: each set bit in which they differ is a shingle
+    that only one of them has.
     """
-    reach = 1 - percent / 100
-    size = F.floor(F.log(F.col("n").cast("double")) / math.log(1.2)).cast("int")
-    member = F.struct("key", "n", "pos", "component", "distance")
-    # a block holds one component's entries of about one size and position; hashed parts bound its rows
-    blocks = entries.groupBy("token", "component", (F.col("pos") / BLOCK).cast("int").alias("at"), size.alias("size"), F.pmod(F.xxhash64("key"), F.lit(16)).alias("part")).agg(
-        F.collect_list(member).alias("members"), F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("n"),
-        F.min("distance").alias("near"), F.max("distance").alias("far"), F.max(F.col("distance").isNull()).alias("unknown"),
-    )
-    x, y = blocks.alias("x"), blocks.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    open_ = (
+    reach, share = 1 - percent / 100, percent / (100 + percent)
+    n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
+    largest = F.least(n / (1 - reach), (n - pos) / share - n) + 1e-6
+    last = F.floor(F.lit(BLOCKS) * (1 - F.lit(share) * (1 + n / largest)) + 1e-6).cast("int")
+    x = entries.withColumn("last", last).where("last >= 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last")))).alias("x")
+    y = entries.withColumn("block", F.floor(F.lit(BLOCKS) * pos / n).cast("int")).alias("y")
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    condition = (
         (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.block") == F.col("y.block"))
         & (F.col("x.component") < F.col("y.component"))
-        & (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.least", "y.least"))
-        & (F.lit(100 + percent) * rest >= F.lit(percent) * (F.col("x.least") + F.col("y.least")))
-        & (F.col("x.unknown") | F.col("y.unknown") | ((F.col("x.near") <= F.col("y.far") + reach + 1e-9) & (F.col("y.near") <= F.col("x.far") + reach + 1e-9)))
+        & can_reach(percent, "x", "y")
+        & (F.col("x.distance").isNull() | F.col("y.distance").isNull() | (F.abs(F.col("x.distance") - F.col("y.distance")) <= reach + 1e-9))
+        & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("x.n") + F.col("y.n")))
     )
-    pairs = x.join(y, open_).select(F.explode("x.members").alias("p"), F.col("y.members").alias("others")).select("p", F.explode("others").alias("q")).where(can_reach(percent, "p", "q"))
-    pairs = pairs.where(F.col("p.distance").isNull() | F.col("q.distance").isNull() | (F.abs(F.col("p.distance") - F.col("q.distance")) <= reach + 1e-9))
-    return pairs.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
+    return x.join(y, condition).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -239,14 +241,20 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     with_leader = written(leader_pairs(entries, percent), "leader-pairs")
     judged = written(compared(with_leader.select("a", "b").distinct(), whole, percent), "leader-links")
     links = judged.where("link").select("a", "b")
-    nodes = components(links)
-    # lists that hold more than one component; a list's leader is at distance 0 from itself
+    nodes = written(components(links), "leader-components")
+    # lists that hold more than one component
     placed = entries.join(nodes, entries["key"] == nodes["node"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     distance = with_leader.join(judged.select("a", "b", "distance"), ["a", "b"]).select("token", F.col("b").alias("key"), "distance")
-    left = placed.join(split, "token").join(distance, ["token", "key"], "left")
+    sketches = indexed.groupBy("key").agg(F.first("bits").alias("bits"))
+    left = written(placed.join(split, "token").join(distance, ["token", "key"], "left").join(sketches, "key"), "split-lists")
     rest = compared(written(block_pairs(left, percent), "block-pairs"), whole, percent).where("link").select("a", "b")
-    nodes = components(written(links.unionByName(rest), "all-links"))
+    # what is new ties components together
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
+    ties = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    tied = components(ties).select(F.col("node").alias("component"), F.col("component").alias("tied"))
+    alone = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node", "left_anti").select("node", F.col("node").alias("component"))
+    nodes = nodes.unionByName(alone).join(tied, "component", "left").select("node", F.coalesce("tied", "component").alias("component"))
 
     keys = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(nodes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = keys.join(keys.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
