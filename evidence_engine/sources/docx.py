@@ -1,4 +1,4 @@
-"""DOCX as a Spark data source: spark.read.format("docx").load(path), a row for each block.
+"""DOCX files as a table of blocks, a row for each paragraph, table row and margin line.
 
 kind is paragraph, table_row or header_footer; text is a paragraph's, cells are a table row's. Files are
 found and read through Spark's binary files, so any path that Spark opens will do.
