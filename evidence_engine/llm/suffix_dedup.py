@@ -62,32 +62,34 @@ def sliding_least(x, width: int):
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def anchors(ends, raw: bytes, length: int, gram: int):
-    """Anchors of a shard: hash, place, and the first and last start of the windows that have it."""
+def anchors(ends, raw: bytes, length: int, gram: int, step: int = 1 << 18):
+    """Anchors of a shard: hash, place, and the first and last start of the windows that have it; step windows at a time."""
     import numpy as np
 
-    none = np.zeros(0, "u8"), *[np.zeros(0, "i8")] * 3
-    if len(raw) < length:
-        return none
-    h = gram_hashes(raw, gram)
-    out = []
-    step = 1 << 20  # windows at a time
+    parts = [[np.zeros(0, "u8")], *[[np.zeros(0, "i8")] for _ in range(4)]]
     for at in range(0, len(raw) - length + 1, step):
         upto = min(at + step, len(raw) - length + 1)
-        part = h[at : upto + length - gram]
-        least = sliding_least((part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype="u8"), length - gram + 1)
-        out.append((least & np.uint64(0xFFFFFF)).astype("i8") + at)
-    place = np.concatenate(out)
-    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    starts = np.arange(len(place))
-    inside = ends[1:][doc[: len(place)]] >= starts + length
-    place, starts, doc = place[inside], starts[inside], doc[: len(inside)][inside]
-    if not len(place):
-        return none
-    new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(place)] - 1
-    return h[place[first]], place[first], starts[first], starts[last]
+        h = gram_hashes(raw[at : upto + length - 1], gram)
+        # the place breaks ties, so the leftmost of equals is the least
+        least = sliding_least((h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype="u8"), length - gram + 1)
+        place, starts = (least & np.uint64(0xFFFFFF)).astype("i8"), np.arange(at, upto)
+        doc = np.searchsorted(ends, starts, "right") - 1
+        inside = ends[doc + 1] >= starts + length
+        place, starts, doc = place[inside], starts[inside], doc[inside]
+        if not len(place):
+            continue
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
+        last = np.r_[first[1:], len(place)] - 1
+        for part, x in zip(parts, (h[place[first]], place[first] + at, starts[first], starts[last], doc[first]), strict=True):
+            part.append(x)
+    hashes, place, first, last, doc = map(np.concatenate, parts)
+    # windows of one anchor that two steps share
+    new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])][: len(place)]
+    at = np.flatnonzero(new)
+    # least hashes are small ones; spread again, they fill all buckets alike
+    hashes = hashes * np.uint64(0x94D049BB133111EB)
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes[at], place[at], first[at], last[np.r_[at[1:], len(place)] - 1] if len(at) else last
 
 
 def prints(hashes, bits: int):
