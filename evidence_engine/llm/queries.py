@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import bpe, context_tree, jaccard_join, mixing, pii, quality, suffix_dedup, token_files, top_k, url_filter
 from evidence_engine.llm.common import documents
 
 
+#: Rows of an Arrow batch: whole texts in both JVM and Python have to fit an executor's memory beside each other.
+ARROW_ROWS = "2500"
+
+
+def bounded(fn):
+    """The query with batches of ARROW_ROWS."""
+
+    @wraps(fn)
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -55,7 +72,7 @@ def op10_top_k(spark, sf_dir):
     return top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_token_files, op4_url_filter, op5_mixing, op6_context_tree, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
+QUERIES = {f.__name__: bounded(f) for f in (op1_suffix_dedup, op2_pii, op3_token_files, op4_url_filter, op5_mixing, op6_context_tree, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
 ORACLES: dict[str, str] = {
     "op5_mixing": """
         with sized as (
