@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidence_engine.functions.text import search_form
 from evidence_engine.operators import cleaning, dense, evaluation, evidence, fusion, lexical, structure
 from evidence_engine.plans.registry import query
+from evidence_engine.sources.scratch import written
 from evidence_engine.sources.tables import chunk_violations
 
 TERMS = "the of tion thing ention erand"
@@ -262,7 +263,8 @@ def duplicate_checks(spark, sf):
 
 
 def hits(spark, sf, k=10):
-    rows = lexical_hits(spark, sf, k).select("query_id", "chunk_id", F.col("rank").alias("pos"))
+    # what follows goes back to these few rows several times: they are made once
+    rows = written(lexical_hits(spark, sf, k).select("query_id", "chunk_id", F.col("rank").alias("pos")), "hits")
     return rows.join(questions(spark, sf), "query_id").join(chunks(spark, sf), "chunk_id")
 
 
@@ -311,8 +313,9 @@ WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))"
     union all select w.query_id, p.turn, case when s + cost <= {BUDGET} then s + cost else s end, case when s + cost <= {BUDGET} then p.doc_id end from walk w join priced p on p.query_id = w.query_id and p.turn = w.turn + 1)
   select query_id, took::varchar chunk_id from walk where took is not null""")
 def greedy_expand(spark, sf):
-    near = evidence.siblings(hits(spark, sf), chunks(spark, sf)).select("query_id", "turn", "chunk_id", evidence.n_words(F.col("text")).cast("long").alias("cost"))
-    return evidence.admitted(hits(spark, sf).select("query_id", evidence.n_words(F.col("text")).cast("long").alias("cost")), near, BUDGET)
+    found = hits(spark, sf)
+    near = evidence.siblings(found, chunks(spark, sf)).select("query_id", "turn", "chunk_id", evidence.n_words(F.col("text")).cast("long").alias("cost"))
+    return evidence.admitted(found.select("query_id", evidence.n_words(F.col("text")).cast("long").alias("cost")), near, BUDGET)
 
 
 @query("context_pack", f"""with {HITS}, n as (select query_id, pos, {WORDS} n from hits), upto as (select *, sum(n) over (partition by query_id order by pos) s from n)
