@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.pieces import PieceEncoder, slices
+from evidence_engine.llm.pieces import PieceEncoder, released, slices
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 END = "</w>"
@@ -88,7 +88,7 @@ class WordCodec:
         key = a << 20 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) > 200_000:
                 self.pairs = {}
             found = self.pairs[key] = self._compatible(a, b)
         return found
@@ -158,7 +158,7 @@ class WordCodec:
 def codec(path: str) -> tuple[WordCodec, PieceEncoder]:
     """A vocabulary's codec and its memory of pieces; both last as long as the Python worker."""
     words = WordCodec(path)
-    return words, PieceEncoder(lambda pieces: [words.chunk(p) if p else [] for p in pieces])
+    return words, PieceEncoder(lambda pieces: [words.chunk(p) if p else [] for p in pieces], keep=50_000)
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -213,6 +213,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, keep_columns: bool = False)
                     b.append(sha256(text.as_buffer()).hexdigest())
                 kept = part.columns if keep_columns else [part.column("doc_id")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [*(part.schema.names if keep_columns else ["doc_id"]), "n_tokens", "ids_sha256", "decoded_sha256"])
+        released()
 
     if keep_columns:
         docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")

@@ -102,3 +102,16 @@ def slices(batch, column: str, most: int = 8 << 20, rows: int = 8000) -> Iterato
         upto = max(at + 1, min(at + rows, int(np.searchsorted(total, done + most, "right"))))
         yield batch.slice(at, upto - at)
         at = upto
+
+
+def released() -> None:
+    """Give memory that a task has freed back to the system: Python workers live on between tasks, beside the JVM's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

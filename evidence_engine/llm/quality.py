@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidence_engine.llm.common import written
-from evidence_engine.llm.pieces import slices
+from evidence_engine.llm.pieces import released, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_pipes", "n_bangs")
 SYMBOLS = "#*$%&|<>"
@@ -92,6 +92,7 @@ def statistics(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
             for part in slices(batch, "text", 6 << 20):
                 kept = part.columns if keep_columns else part.columns[:1]
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, pa.int64()) for c in counts(part.column("text").to_pylist())]], schema.names)
+        released()
 
     return rows.mapInArrow(run, schema)
 

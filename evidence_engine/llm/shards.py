@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence_engine.llm.common import written
-from evidence_engine.llm.pieces import slices
+from evidence_engine.llm.pieces import released, slices
 
 SHARD = "shard long, n_bytes long, doc_ids binary, sizes binary, texts binary"
 PART = "bucket long, shard long, blob binary"
@@ -46,6 +46,7 @@ def make(docs: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
                 row = (k, len(raw), ids.tobytes(), np.asarray(sizes).tobytes(), zip_.compress(raw))
                 k += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "n_bytes", "doc_ids", "sizes", "texts"])
+        released()
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SHARD), "shards")
 
@@ -116,6 +117,7 @@ def ask(shards: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]])
             for shard, *rest in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_ids", "sizes", "texts")), strict=True):
                 parts = list(question(*opened(*rest)))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([shard] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "shard", "blob"])
+        released()
 
     return shards.select("shard", "doc_ids", "sizes", "texts").mapInArrow(run, PART)
 
@@ -145,6 +147,7 @@ def answer(questions: DataFrame, answering: Callable[[list[bytes]], list[bytes]]
             blobs = answering([r[1] for r in rows])
             to = [*(r[0] for r in rows), -1][: len(blobs)]
             yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(to), pa.int64()), pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "shard", "blob"])
+        released()
 
     return questions.repartition(tasks, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, PART)
 
@@ -160,6 +163,7 @@ def told(shards: DataFrame, answers: DataFrame, telling: Callable, schema: str)
                 row = batch.slice(k, 1)
                 shard, ids, sizes, texts, answers = (row.column(c).to_pylist()[0] for c in ("shard", "doc_ids", "sizes", "texts", "answers"))
                 yield from telling(*opened(ids, sizes, texts), dict(answers or []), shard)
+        released()
 
     return rows.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.llm.common import open_input, open_output, parallelism, shared_dir, written
-from evidence_engine.llm.pieces import PieceEncoder, slices
+from evidence_engine.llm.pieces import PieceEncoder, released, slices
 
 #: The public seekable format's numbers.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -139,6 +139,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int]
                         to.append(x)
                 files = [0 if d is None else bisect_right(bounds, d) for d in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, files, *out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "file", "n_tokens", "crc32", "frame", "n_bytes", "xxh32"])
+        released()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frames, FRAME)
 
