@@ -222,10 +222,10 @@ def build_citations(spark, sf):
     return citations.numbered(evidence(spark)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
-TAGGED = [(1, 1, "Ý một  .", "c2,c1", "1,2"), (1, 2, "Ý hai", "c3", "2"), (1, 5, "Ý ba", "c1,c2", "2,1"), (3, 0, "Kết luận", "e1", "1")]
+TAGGED = [(1, 1, "Ý một  .", "c2,c1", "2,1"), (1, 2, "Ý hai", "c3", "1"), (1, 5, "Ý ba", "c1,c2", "1,2"), (3, 0, "Kết luận", "e1", "1")]
 
 
-@query("tagged_claims")
+@query("tagged_claims", f"select * from {values(TAGGED, 'answer_id, line_no, claim, chunk_ids, cited')}")
 def tagged_claims(spark, sf):
     good = answers(spark).where("answer_id in (1, 3)")
     return citations.tagged(good, evidence(spark)).withColumns({"chunk_ids": F.array_join("chunk_ids", ","), "cited": F.array_join("cited", ",")})
@@ -239,7 +239,12 @@ def citation_violations(spark, sf):
     return citations.violations(answers(spark), evidence(spark)).na.fill(-1, ["line_no"])
 
 
-@query("rendered_answers")
+RENDERED = [
+    (1, f"Mở đầu:\nÝ một  . [2][1]\nÝ hai [1]\n\nÝ ba [1][2]\n\n{V.BIBLIOGRAPHY}\n[1] Luật A → Điều 1 → Khoản 1\n[2] Luật A → Điều 2"), (3, f"Kết luận [1]\n\n{V.BIBLIOGRAPHY}\n[1] Luật D"),
+]
+
+
+@query("rendered_answers", f"select * from {values(RENDERED, 'answer_id, answer')}")
 def rendered_answers(spark, sf):
     return citations.rendered(answers(spark).where("answer_id in (1, 3)"), evidence(spark))
 
