@@ -214,3 +214,9 @@ def test_top_k(spark):
     found = [tuple(x) for x in top_k.top_k(df, top_k.F.col("vec_id") % 50 == 0, block_queries=4).collect()]
     assert set(found) == expected and len(found) == len(expected)
     assert top_k.top_k(df.limit(0), top_k.F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_grouped_words_are_the_library(library):
+    r, encode = random.Random(7), token_files.grouped(library, 5)
+    pieces = ["", "a", "Straße", "éÉ", "µª", "x1", "don't", "日本", "ǅ", "<|endoftext|>"] + ["".join(r.choice("abcdeinorst'é1ẖक़") for _ in range(r.randint(1, 12))) for _ in range(2000)]
+    assert encode(pieces) == [library.encode(p, add_special_tokens=False).ids for p in pieces] and encode([]) == []
