@@ -1,14 +1,16 @@
 """Language-model scores by context-tree weighting, beside a smoothed unigram base.
 
 A byte is eight binary decisions. For each decision there is a tree of contexts: none, the last byte, the
-last two. Each node's Krichevsky-Trofimov estimate of what training documents did there is mixed with what
-the longer contexts say, in the proportion in which each has predicted the training data. The model's
-probability of a byte is the product over its decisions; its log2 with the sign changed is the code length.
+last two and so on to depth. Each node's Krichevsky-Trofimov estimate of what training documents did there
+is mixed with what the longer contexts say, in the proportion in which each has predicted the training
+data. The model's probability of a byte is the product over its decisions; its log2 with the sign changed
+is the code length.
 
-What is learned covers all training documents. Byte counts by context are added up over all shards; with
-contexts of at most two bytes there are at most 2**16 rows of 256 log-probabilities (64 MB), which bounds
-the broadcast model for any corpus. Word counts have no such bound: each shard asks for those of its own
-words (see shards.py), which moves data in proportion to the corpus.
+What is learned covers all training documents and grows with them. Each shard asks the buckets (see
+shards.py) for the counts of its own words, and for what its own contexts with the byte after them come to.
+A bucket owns contexts of TOP + 1 bytes with all that is longer, so it weights those trees from the longest
+contexts up; what they hand to the contexts of TOP bytes is added up over all buckets, and only the model of
+these short contexts (at most 2**24 decisions, for any corpus) is broadcast, back to the buckets.
 
 Defined results: null and empty texts have one token, the end, and model score 0; a null doc_id is a
 training document; repeated rows count and are scored each; without training documents the base divides
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 
 from evidence_engine.llm import shards as S
 from evidence_engine.llm.common import parallelism, written
+from evidence_engine.llm.jaccard_join import mixed
 
+#: Bytes of context that op6 learns, and of those contexts that every task of a bucket has the model of.
+DEPTH, TOP = 6, 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
@@ -90,36 +95,39 @@ def word_counts(shards: DataFrame, bucket_bits: int, tasks: int) -> DataFrame:
     return S.answer(S.ask(shards, question), answering, tasks)
 
 
-def byte_codes(ends, raw: bytes):
-    """For each byte the two before it in its text (0 before the first) and itself, as one number of 24 bits."""
+def context_codes(ends, raw: bytes, depth: int):
+    """For each byte one number: the bytes before it in its text (0 before the first), the last one highest, then itself."""
     import numpy as np
 
-    x = np.frombuffer(raw, "u1").astype("i4")
-    one, two = np.zeros_like(x), np.zeros_like(x)
-    one[1:], two[2:] = x[:-1], x[:-2]
-    starts = ends[:-1][np.diff(ends) > 0]
-    one[starts] = 0
-    two[starts] = 0
-    two[starts[starts + 1 < len(x)] + 1] = 0
-    return two << 16 | one << 8 | x
+    x = np.frombuffer(raw, "u1").astype("u8")
+    place = np.arange(len(x)) - np.repeat(ends[:-1], np.diff(ends))
+    code = x.copy()
+    for d in range(1, depth + 1):
+        code[d:] |= np.where(place[d:] >= d, x[:-d], np.uint64(0)) << np.uint64(8 * (depth - d + 1))
+    return code
 
 
-def byte_counts(shards: DataFrame) -> DataFrame:
-    """code and n: how often training documents have a byte after two others."""
+def distinct(x):
+    """Sorted distinct values, and how often each is there."""
+    import numpy as np
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([np.ones(len(x[:1]), bool), x[1:] != x[:-1]]))
+    return x[at], np.diff(at, append=len(x))
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "texts")), strict=True):
-                ids, ends, raw = S.opened(*row)
-                keep = np.repeat([not held_out(d) for d in ids.tolist()], np.diff(ends)).astype(bool)
-                n = np.bincount(byte_codes(ends, raw)[keep], minlength=1)
-                code = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n[code], pa.int64())], ["code", "n"])
 
-    return shards.select("doc_ids", "sizes", "texts").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def by_bucket(codes, depth: int, bucket_bits: int):
+    """The order that puts sorted codes into buckets by their contexts of TOP + 1 bytes, and the buckets' edges there."""
+    import numpy as np
+
+    context = (codes >> np.uint64(8 * (depth - top_of(depth)))) & np.uint64(0xFFFFFFFF)
+    bucket = (mixed(context) >> np.uint64(64 - bucket_bits)).astype("u4")
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1)).tolist()
+
+
+def top_of(depth: int) -> int:
+    return min(TOP, depth - 1)
 
 
 def lgamma(x):
@@ -133,18 +141,6 @@ def lgamma(x):
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(shift)
 
 
-def decisions(n):
-    """Counts of bytes (rows of 256) as counts of each binary decision's two outcomes (rows of 255, the highest bit first)."""
-    import numpy as np
-
-    zeros, ones = [], []
-    for bit in range(8):
-        halves = n.reshape(len(n), 1 << bit, 2, 128 >> bit).sum(axis=3)
-        zeros.append(halves[:, :, 0])
-        ones.append(halves[:, :, 1])
-    return np.concatenate(zeros, axis=1).astype("f8"), np.concatenate(ones, axis=1).astype("f8")
-
-
 def evidence(zeros, ones):
     """The log of the Krichevsky-Trofimov probability of all decisions at a node."""
     return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - math.log(math.pi) - lgamma(zeros + ones + 1)
@@ -155,75 +151,174 @@ def estimate(zeros, ones):
     return (ones + 0.5) / (zeros + ones + 1)
 
 
-def bytes_of(p):
-    """log10-probabilities of bytes (rows of 256) from those of decisions (rows of 255)."""
+def levels(codes, n, depth: int, least: int):
+    """From depth to least: a depth's sorted (context, byte), their counts and each code's place among them."""
     import numpy as np
 
-    out, at = np.zeros((len(p), 1)), 0
-    for bit in range(8):
-        q = p[:, at : at + (1 << bit)]
-        at += 1 << bit
-        out = np.stack([out + np.log10(1 - q), out + np.log10(q)], axis=2).reshape(len(p), -1)
+    place = np.arange(len(codes))
+    out = [(codes, n, place)]
+    for _ in range(depth, least, -1):
+        codes, up = np.unique(codes >> np.uint64(16) << np.uint64(8) | codes & np.uint64(0xFF), return_inverse=True)
+        n = np.bincount(up, weights=n, minlength=len(codes))
+        place = up[place]
+        out.append((codes, n, place))
     return out
 
 
-def weighted(code, n):
-    """The model from byte counts: which row each context of two bytes has, and the rows of log10-probabilities."""
+def nodes(codes, n, bit: int):
+    """Of a depth's (context, byte): the decisions on that bit as context and bits before it, their counts, each code's place."""
+    import numpy as np
+
+    key = codes >> np.uint64(8 - bit)
+    new = np.concatenate([np.ones(len(key[:1]), bool), key[1:] != key[:-1]])
+    which = np.cumsum(new) - 1
+    total = np.bincount(which, weights=n)
+    ones = np.bincount(which, weights=n * (codes >> np.uint64(7 - bit) & np.uint64(1)))
+    return key[new], total - ones, ones, which
+
+
+def longest(codes, n, depth: int):
+    """For each bit of a bucket's codes: what its contexts longer than top_of(depth) come to.
+
+    Yields the bit, each code's probability that it is 1, then the decisions at top_of(depth) with their
+    counts here and the sums of what the weighted evidence of their longer contexts is.
+    """
+    import numpy as np
+
+    half, every = math.log(0.5), levels(codes, n, depth, top_of(depth))
+    for bit in range(8):
+        below, down = None, []
+        for k, (c, m, place) in enumerate(every[:-1]):
+            key, zeros, ones, which = nodes(c, m, bit)
+            mix, stay = evidence(zeros, ones), np.ones(len(key))
+            if k:
+                own = half + mix
+                mix = np.logaddexp(own, half + below)
+                stay = np.exp(own - mix)
+            down.append((estimate(zeros, ones), stay, which[place]))
+            up = key >> np.uint64(8 + bit) << np.uint64(bit) | key & np.uint64((1 << bit) - 1)
+            below = np.bincount(np.unique(up, return_inverse=True)[1], weights=mix)
+        p = None
+        for own, stay, at in down:
+            p = own[at] if p is None else stay[at] * own[at] + (1 - stay[at]) * p
+        key, zeros, ones, _ = nodes(*every[-1][:2], bit)
+        yield bit, p, named(key, bit), zeros, ones, below
+
+
+def named(key, bit: int):
+    """Decisions of all bits as numbers that differ: the context, a 1 and the bits before."""
     import numpy as np
 
-    code, n = np.asarray(code, "i8"), np.asarray(n, "i8")
-    order = np.argsort(code >> 8 & 0xFF, kind="stable")
-    code, n = code[order], n[order]
-    edges = np.searchsorted(code >> 8 & 0xFF, np.arange(257))
-    half = math.log(0.5)
-    below, parts = np.zeros(255), []
-    root = np.zeros((1, 256), "i8")
-    np.add.at(root[0], code & 0xFF, n)
-    for one in range(256):
-        c, k = code[edges[one] : edges[one + 1]], n[edges[one] : edges[one + 1]]
-        olds, row = np.unique(c >> 16, return_inverse=True)
-        table = np.zeros((len(olds), 256), "i8")
-        np.add.at(table, (row, c & 0xFF), k)
-        deep = decisions(table)
-        mid = decisions(table.sum(axis=0, keepdims=True))
-        own, longer = half + evidence(*mid)[0], half + evidence(*deep).sum(axis=0)
-        mix = np.logaddexp(own, longer)
-        below += mix
-        parts.append((olds, estimate(*deep), estimate(*mid)[0], np.exp(own - mix)))
-    top = decisions(root)
-    own, longer = half + evidence(*top)[0], half + below
-    stay0, first = np.exp(own - np.logaddexp(own, longer)), estimate(*top)[0]
-    rows, where, at = [], np.zeros(1 << 16, "i4"), 0
-    for one, (olds, deep, mid, stay) in enumerate(parts):
-        # the last row is for what has not been seen before this byte: its longest context knows nothing
-        deep = np.concatenate([deep, np.full((1, 255), 0.5)])
-        rows.append(bytes_of(stay0 * first + (1 - stay0) * (stay * mid + (1 - stay) * deep)).astype("f4"))
-        where[np.arange(256) << 8 | one] = at + len(olds)
-        where[olds << 8 | one] = at + np.arange(len(olds))
-        at += len(olds) + 1
-    return where, np.concatenate(rows)
-
-
-def model(shards: DataFrame) -> tuple:
-    """weighted() of all shards' training documents. One task builds it: its input has at most 2**24 rows, however large the corpus is."""
+    return key >> np.uint64(bit) << np.uint64(8) | key & np.uint64((1 << bit) - 1) | np.uint64(1 << bit)
+
+
+def shortest(key, zeros, ones, below, top: int):
+    """What contexts of at most top bytes say: the probability of 1 is a + b times that of the longer contexts."""
+    import numpy as np
+
+    half, place = math.log(0.5), np.arange(len(key))
+    a, b = np.zeros(len(key)), np.ones(len(key))
+    for d in range(top, -1, -1):
+        own = half + evidence(zeros, ones)
+        mix = np.logaddexp(own, half + below)
+        stay = np.exp(own - mix)
+        a = (stay * estimate(zeros, ones))[place] + (1 - stay)[place] * a
+        b = (1 - stay)[place] * b
+        if d:
+            key, up = np.unique(key >> np.uint64(16) << np.uint64(8) | key & np.uint64(0xFF), return_inverse=True)
+            zeros, ones, below = (np.bincount(up, weights=x, minlength=len(key)) for x in (zeros, ones, mix))
+            place = up[place]
+    return a, b
+
+
+def context_counts(shards: DataFrame, depth: int, bucket_bits: int, tasks: int) -> DataFrame:
+    """For each shard and bucket the places of the shard's codes among the bucket's; the buckets' summaries: codes, counts and, by longest(), decisions."""
+
+    def question(ids, ends, raw):
+        import numpy as np
+
+        code = context_codes(ends, raw, depth)
+        train = np.repeat([not held_out(d) for d in ids.tolist()], np.diff(ends)).astype(bool)
+        known, times = distinct(code[train])
+        every = distinct(np.concatenate([known, distinct(code[~train])[0]]))[0]
+        n = np.zeros(len(every), "u8")
+        n[np.searchsorted(every, known)] = times
+        order, edges = by_bucket(every, depth, bucket_bits)
+        every, n = every[order], n[order]
+        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if j > i:
+                yield b, S.join_blobs(S.pack_sorted(every[i:j]), S.pack(n[i:j]))
+
+    def answering(blobs):
+        import numpy as np
+
+        parts = [S.split_blobs(b) for b in blobs]
+        codes = distinct(np.concatenate([S.unpack_sorted(c) for c, _ in parts]))[0]
+        total, out = np.zeros(len(codes), "u8"), []
+        for c, n in parts:
+            at = np.searchsorted(codes, S.unpack_sorted(c))
+            total[at] += S.unpack(n)
+            out.append(S.pack_sorted(at.astype("u8")))
+        key, zeros, ones, below = (np.concatenate(x) for x in list(zip(*longest(codes, total, depth), strict=True))[2:])
+        order = np.argsort(key)
+        summary = (S.pack_sorted(codes), S.pack(total), S.pack_sorted(key[order]), S.pack(zeros[order].astype("u8")), S.pack(ones[order].astype("u8")), below[order].tobytes())
+        return [*out, S.join_blobs(*summary)]
+
+    return S.answer(S.ask(shards, question), answering, tasks)
+
+
+def model(counts: DataFrame, depth: int) -> tuple:
+    """shortest() of all buckets' decisions. One task builds it: with contexts of TOP bytes there are at most 2**24 of them, however large the corpus is."""
+
+    def decisions(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                _, _, key, zeros, ones, below = S.split_blobs(blob)
+                columns = S.unpack_sorted(key).view("i8"), S.unpack(zeros).view("i8"), S.unpack(ones).view("i8"), np.frombuffer(below, "f8")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "zeros", "ones", "below"])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        got = [(b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        where, rows = weighted(*(np.concatenate([np.zeros(0, "i8"), *(g[k] for g in got)]) for k in (0, 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([where.tobytes()]), pa.array([rows.tobytes()])], ["place", "rows"])
+        got = [tuple(b.column(k).to_numpy() for k in range(4)) for b in batches]
+        key, zeros, ones, below = (np.concatenate([np.zeros(0, t), *(g[k] for g in got)]) for k, t in enumerate(("i8", "i8", "i8", "f8")))
+        order = np.argsort(key)
+        key = key[order].astype("u8")
+        a, b = shortest(key, zeros[order].astype("f8"), ones[order].astype("f8"), below[order], top_of(depth))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (key, a, b)], ["key", "a", "b"])
+
+    rows = counts.where("shard = -1").select("blob").mapInArrow(decisions, "key long, zeros long, ones long, below double")
+    rows = rows.groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
+    row = rows.coalesce(1).mapInArrow(run, "key binary, a binary, b binary").first()
+    return tuple(map(bytes, row)) if row is not None else (b"", b"", b"")
+
+
+def context_scores(counts: DataFrame, depth: int, shared, tasks: int) -> DataFrame:
+    """For each shard and bucket the log10-probabilities (float32) of the shard's codes."""
+
+    def answering(blobs):
+        import numpy as np
+
+        # the summary is the bucket's first row
+        codes, n = (f(b) for f, b in zip((S.unpack_sorted, S.unpack), S.split_blobs(blobs[0]), strict=False))
+        key, a, b = (np.frombuffer(x, t) for x, t in zip(shared.value, ("u8", "f8", "f8"), strict=True))
+        logs, of = np.zeros(len(codes)), codes >> np.uint64(8 * (depth - top_of(depth) + 1)) << np.uint64(8) | codes & np.uint64(0xFF)
+        for bit, p, *_ in longest(codes, n, depth):
+            at = np.searchsorted(key, named(of >> np.uint64(8 - bit), bit))
+            p = a[at] + b[at] * p
+            logs += np.log10(np.where(codes >> np.uint64(7 - bit) & np.uint64(1), p, 1 - p))
+        logs = logs.astype("<f4").view("<u4")
+        return [b"", *(S.pack(logs[S.unpack_sorted(x).astype("i8")]) for x in blobs[1:])]
 
-    row = byte_counts(shards).coalesce(1).mapInArrow(run, "place binary, rows binary").first()
-    if row is None:
-        where, rows = weighted([], [])
-        return where.tobytes(), rows.tobytes()
-    return bytes(row["place"]), bytes(row["rows"])
+    return S.answer(counts, answering, tasks).where("shard >= 0")
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """SCORES of every document; n_bytes turns score into code length: -log2(10) * score / n_bytes bits a byte."""
+def scored(docs: DataFrame, depth: int = 2) -> DataFrame:
+    """SCORES of every document, by contexts of 1 to 7 bytes at most; n_bytes turns score into code length: -log2(10) * score / n_bytes bits a byte."""
     spark = docs.sparkSession
     shards = S.make(docs.select("doc_id", "text"))
     total = shards.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -236,7 +331,13 @@ def scored(docs: DataFrame) -> DataFrame:
     ends = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1).count()
     train_tokens, vocabulary = n_words + ends, kinds + (ends > 0)
     mass = train_tokens + 0.5 * (vocabulary + 1)
-    shared = spark.sparkContext.broadcast(model(shards))
+    code_buckets = S.n_buckets(total // 4, tasks, 1_000_000)
+    code_bits = code_buckets.bit_length() - 1
+    counts = written(context_counts(shards, depth, code_bits, max(tasks, code_buckets)), "context-counts")
+    shared = spark.sparkContext.broadcast(model(counts, depth))
+    scores = context_scores(counts, depth, shared, max(tasks, code_buckets))
+    # buckets of contexts have the numbers below 0
+    answers = answers.where("shard >= 0").unionByName(scores.withColumn("bucket", -1 - F.col("bucket")))
 
     def telling(ids, ends_of, raw, answers, shard):
         import numpy as np
@@ -244,14 +345,22 @@ def scored(docs: DataFrame) -> DataFrame:
 
         hashes, place, doc = words_of(ends_of, raw)
         counts, edges = np.zeros(len(hashes)), cuts(hashes, bucket_bits)
+        code = context_codes(ends_of, raw, depth)
+        order = np.argsort(code)
+        new = np.diff(code[order], prepend=~code[order[:1]]) != 0
+        into, code_edges = by_bucket(code[order[new]], depth, code_bits)
+        logs_of = np.zeros(len(into), "f4")
         for b, blob in answers.items():
-            counts[edges[b] : edges[b + 1]] = S.unpack(blob)
+            if b >= 0:
+                counts[edges[b] : edges[b + 1]] = S.unpack(blob)
+            else:
+                logs_of[into[code_edges[-1 - b] : code_edges[-b]]] = S.unpack(blob).astype("<u4").view("<f4")
+        each = np.zeros(len(code), "f4")
+        each[order] = logs_of[np.cumsum(new) - 1]
         n = len(ids)
         of = counts[place]
         base = np.bincount(doc, weights=np.log10((of + 0.5) / mass), minlength=n) + math.log10((ends + 0.5) / mass)
-        where, rows = np.frombuffer(shared.value[0], "i4"), np.frombuffer(shared.value[1], "f4").reshape(-1, 256)
-        code = byte_codes(ends_of, raw)
-        logs = np.concatenate([[0.0], np.cumsum(rows[where[code >> 8], code & 0xFF], dtype="f8")])
+        logs = np.concatenate([[0.0], np.cumsum(each, dtype="f8")])
         n_tokens = np.bincount(doc, minlength=n) + 1
         n_known = np.bincount(doc, weights=of > 0, minlength=n).astype("i8") + (ends > 0)
         yield pa.RecordBatch.from_arrays(
@@ -259,5 +368,5 @@ def scored(docs: DataFrame) -> DataFrame:
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
         )
 
-    rows = S.told(shards, answers.where("shard >= 0"), telling, SCORES)
+    rows = S.told(shards, answers, telling, SCORES)
     return rows.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))

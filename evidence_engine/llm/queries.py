@@ -48,7 +48,7 @@ def op3_token_files(spark, sf_dir):
 
 
 def op6_context_tree(spark, sf_dir):
-    return context_tree.scored(documents(spark, sf_dir, "doc_id", "text"))
+    return context_tree.scored(documents(spark, sf_dir, "doc_id", "text"), context_tree.DEPTH)
 
 
 def op7_bpe(spark, sf_dir):

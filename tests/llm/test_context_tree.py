@@ -105,3 +105,23 @@ def test_held_out_code_length(spark):
     held = [t for d, t in texts.items() if context_tree.held_out(d)]
     plain = -sum(math.log2((n[b] + 0.5) / (total + 128)) for t in held for b in t) / sum(map(len, held))
     assert rows < 0.85 * plain
+
+
+def test_query_learns_long_contexts(spark, tmp_path):
+    """The query's contexts are longer than two bytes, so a passage seen in training is cheap in a held-out document."""
+    from evidence_engine.llm import queries
+
+    r = random.Random(3)
+    passage = "".join(r.choice("abcd") for _ in range(400))
+    texts = [None, "", "é😀\x00ÿ", "x" * 500] + [passage if k % 2 else "".join(r.choice("abcd ") for _ in range(r.randint(1, 300))) for k in range(40)]
+    rows = [*enumerate(texts), (None, "null id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
+    learned = [(t or "").encode() for d, t in rows if not fold(d)]
+    model, short = plain_model(learned, context_tree.DEPTH), plain_model(learned)
+    found = {x["doc_id"]: x["score"] for x in queries.op6_context_tree(spark, str(tmp_path)).collect()}
+    assert context_tree.DEPTH > 2 and len(found) == len(rows)
+    for d, t in rows:
+        assert found[d] == pytest.approx(model((t or "").encode()), rel=1e-5, abs=1e-6)
+    held = [d for d, t in rows if t == passage and fold(d)]
+    assert held and all(found[d] > 0.2 * short(passage.encode()) for d in held)
