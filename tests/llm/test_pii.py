@@ -78,6 +78,21 @@ def test_cards_in_a_row_are_added(spark):
     assert pii.found(docs.union(more)).where("doc_id = 1000000").first()["spans"] == "card:4:20,card:21:37"
 
 
+def test_cards_in_groups_are_added(spark):
+    # digits that follow a card or precede it make the base pattern fail; windows of groups find the card
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    cases = {
+        "see 4111 1111 1111 1111 5500 0055 5555 5559 of": ["4111 1111 1111 1111", "5500 0055 5555 5559"],
+        "card 4111 1111 1111 1111 123": ["4111 1111 1111 1111"],
+        "by 4111-1111-1111-1111 2027": ["4111-1111-1111-1111"],
+        "no 12 4111111111111111 123 x": ["4111111111111111"],
+    }
+    more = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.found(docs.union(more)).where("doc_id >= 1000000").collect()}
+    for k, (text, cards) in enumerate(cases.items()):
+        assert found[10**6 + k] == ",".join(f"card:{text.index(c)}:{text.index(c) + len(c)}" for c in cards), text
+
+
 def test_trees_learn():
     rows = [((g, d, l, 0, 0, 0, 0, 0, 0, 0, 0), 50.0 * (l and d > 2), 50.0 * (not (l and d > 2))) for g in range(2) for d in range(5) for l in range(2)]  # noqa: E741
     trees = pii.Trees(rows)
