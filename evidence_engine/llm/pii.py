@@ -43,7 +43,7 @@ CARD_DIGITS = range(13, 20)
 NETWORK = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?=[0-9]{16}$)(?:5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)[0-9]*|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|(?=[0-9]{16,19}$)(?:6011|64[4-9]|65|62|35[2-8])[0-9]*)$"
 WRITTEN = r"^(?:[0-9]+|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$"
 AT = r"[^\s@()\[\]]{1,64}+\x20?(?:@|[(\[]at[)\]])\x20?[^\s@()\[\]]{2,255}"
-SECRET = r"(?i)(?<![A-Za-z])(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,256}+"
+SECRET = r"(?i)(?<![A-Za-z])(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
 CUES = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|visa|server|host|address|token|secret)"
 WINDOW = 24
 FEATURES = ("gen", "digits", "luhn", "quad", "plus", "at", "groups", "brackets", "mixed", "glued", "cue")

@@ -93,6 +93,14 @@ def test_cards_in_groups_are_added(spark):
         assert found[10**6 + k] == ",".join(f"card:{text.index(c)}:{text.index(c) + len(c)}" for c in cards), text
 
 
+def test_long_secrets_are_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text = "so token = " + "a1B2c3D4" * 500 + " end"
+    more = docs.union(spark.createDataFrame([(10**6, text)], "doc_id long, text string"))
+    assert pii.found(more).where("doc_id = 1000000").first()["spans"] == f"secret:3:{len(text) - 4}"
+    assert pii.redacted(more).where("doc_id = 1000000").first()["text"] == "so <SECRET> end"
+
+
 def test_trees_learn():
     rows = [((g, d, l, 0, 0, 0, 0, 0, 0, 0, 0), 50.0 * (l and d > 2), 50.0 * (not (l and d > 2))) for g in range(2) for d in range(5) for l in range(2)]  # noqa: E741
     trees = pii.Trees(rows)
