@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import shards as S
@@ -36,7 +36,7 @@ MULTIPLY = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FE
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Blocks that the positions of a whole set would have, and 64-bit words of a sketch.
 BLOCKS, WORDS = 32, 16
-SETS = "doc_id long, n long, key binary, entries array<struct<token:long,pos:int>>, tokens array<long>, bits array<long>"
+SETS = "doc_id long, digest string, n long, key binary, entries array<struct<token:long,pos:int>>, tokens array<long>, bits array<long>"
 
 
 def mixed(x):
@@ -142,6 +142,8 @@ def prefixes(shards: DataFrame, answers: DataFrame, n: int, bits: int, bucket_bi
     shift = bits - bucket_bits
 
     def telling(ids, ends, raw, answers, shard):
+        from hashlib import md5
+
         import numpy as np
         import pyarrow as pa
 
@@ -167,8 +169,8 @@ def prefixes(shards: DataFrame, answers: DataFrame, n: int, bits: int, bucket_bi
             odd = np.bincount((s * np.uint64(MULTIPLY[0])) >> np.uint64(54), minlength=64 * WORDS) & 1
             sketches[k] = np.packbits(odd.astype("u1")).view("i8")
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([k or None for k in keys], pa.binary()), pa.array(entries, pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-            ["doc_id", "n", "key", "entries", "tokens", "bits"],
+            [pa.array(ids), pa.array([md5(raw[i:j]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k or None for k in keys], pa.binary()), pa.array(entries, pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+            ["doc_id", "digest", "n", "key", "entries", "tokens", "bits"],
         )
 
     return S.told(shards, answers, telling, SETS)
@@ -221,8 +223,8 @@ def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return x.join(y, condition).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
+def placed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest of the text, n_shingles and key of every document; key, component and least doc_id of every set."""
     spark = docs.sparkSession
     shards = S.make(docs.select("doc_id", "text"))
     total = shards.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -233,7 +235,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     answers = written(frequencies(shards, n, bits, buckets.bit_length() - 1, max(tasks, buckets)), "shingle-frequencies")
     sets = written(prefixes(shards, answers, n, bits, buckets.bit_length() - 1, percent), "shingle-sets")
     dropped(shards)
-    members = sets.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), "key")
+    members = sets.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "digest", F.col("n").alias("n_shingles"), "key")
     indexed = sets.where("entries is not null")
     entries = written(indexed.select("key", "n", F.explode("entries").alias("e")).select(F.col("e.token").alias("token"), "key", "n", F.col("e.pos").alias("pos")).distinct(), "shingle-entries")
     whole = indexed.groupBy("key").agg(F.first("tokens").alias("tokens"))
@@ -243,11 +245,11 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     links = judged.where("link").select("a", "b")
     nodes = written(components(links), "leader-components")
     # lists that hold more than one component
-    placed = entries.join(nodes, entries["key"] == nodes["node"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
-    split = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    sorted_out = entries.join(nodes, entries["key"] == nodes["node"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
+    split = sorted_out.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     distance = with_leader.join(judged.select("a", "b", "distance"), ["a", "b"]).select("token", F.col("b").alias("key"), "distance")
     sketches = indexed.groupBy("key").agg(F.first("bits").alias("bits"))
-    left = written(placed.join(split, "token").join(distance, ["token", "key"], "left").join(sketches, "key"), "split-lists")
+    left = written(sorted_out.join(split, "token").join(distance, ["token", "key"], "left").join(sketches, "key"), "split-lists")
     rest = compared(written(block_pairs(left, percent), "block-pairs"), whole, percent).where("link").select("a", "b")
     # what is new ties components together
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
@@ -257,13 +259,29 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     nodes = nodes.unionByName(alone).join(tied, "component", "left").select("node", F.coalesce("tied", "component").alias("component"))
 
     keys = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(nodes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    return members, keys
+
+
+def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
+    members, keys = placed(docs, n, percent)
     ids = keys.join(keys.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
     return members.join(ids, "key", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("key").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The documents of which each component keeps the one with the smallest doc_id; of its repeated rows one."""
-    found = linked(docs, n, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    ties = docs.select("doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if ties else kept
+    """The documents of which each component keeps the one with the smallest doc_id (a null one comes last), then the smallest digest of its text.
+
+    Texts without shingles all stay. Of rows that have both doc_id and text alike one stays.
+    """
+    members, keys = placed(docs, n, percent)
+    of = members.join(keys.select("key", "component"), "key", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")).alias("first")
+    kept = of.where("component is not null").groupBy("component").agg(first).select("first.doc_id", "first.digest")
+    kept = kept.unionByName(of.where("component is null").select("doc_id", "digest")).select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    rows = docs.withColumn("_digest", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows["_digest"] == kept["_kept_digest"]), "left_semi")
+    if members.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+        plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.xxhash64(*plain)))).where("_place = 1")
+    return rows.select(*docs.columns)

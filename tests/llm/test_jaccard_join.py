@@ -64,6 +64,15 @@ def test_one_of_each(spark):
     assert sorted(tuple(r) for r in jaccard_join.one_of_each(df).collect()) == [(3, "a b c d e", "y"), (9, None, "z"), (10, "other words in here", None)]
 
 
+def test_one_of_each_without_or_with_the_same_id(spark):
+    text, own, lone = "a b c d e", "a text of its own here", "like no other one at all"
+    rows = [(3, text), (7, text), (7, own), (None, lone), (None, text), (None, "p q r s"), (None, "p q r s"), (None, None), (8, "lone pair of words"), (8, "LONE pair of words")]
+    found = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    plain = [tuple(r) for r in found if r["doc_id"] != 8]
+    assert sorted(plain, key=str) == sorted([(3, text), (7, own), (None, lone), (None, "p q r s"), (None, None)], key=str)
+    assert sum(r["doc_id"] == 8 for r in found) == 1
+
+
 def test_components_of_chains(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(r.randint(200, 230), r.randint(200, 230)) for _ in range(25)] + [(7, 7)]
