@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import md5, sha256
@@ -112,36 +113,68 @@ def test_url_rules_and_models(spark):
     assert url_filter.judged(df.limit(0)).count() == 0
 
 
-def test_url_scores_are_those_of_the_models(spark):
+def plain_models(examples, order, share):
+    """What the kept contexts give: a function of (side, context, letter), and the context that is next."""
+    count, kinds, total, places = Counter(), Counter(), Counter(), Counter()
+    for text, good in examples:
+        padded = url_filter.START * order + text
+        for i in range(order, len(padded)):
+            for n in range(order + 1):
+                context = padded[i - n : i]
+                kinds[good, context] += not count[good, context, padded[i]]
+                count[good, context, padded[i]] += 1
+                total[good, context] += 1
+                places[context] += 1
+    kept = {c for c, n in places.items() if not c or n * share >= places[""]}
+
+    def p(good, context, letter):
+        n, of = count[good, context, letter], total[good, context]
+        if not context:
+            return (n + 1) / (of + url_filter.A)
+        q = p(good, context[1:], letter)
+        return (n + kinds[good, context] * q) / (of + kinds[good, context]) if of else q
+
+    def longest(context):
+        return next(context[k:] for k in range(len(context) + 1) if context[k:] in kept)
+
+    def score(text):
+        context, out = longest(url_filter.START * order), 0.0
+        for letter in text:
+            out += math.log(p(1, context, letter) / p(0, context, letter))
+            context = longest((context + letter)[-order:])
+        return out / max(1, len(text))
+
+    return score
+
+
+@pytest.mark.parametrize(("order", "share"), [(url_filter.ORDER, url_filter.SHARE), (3, 50)])
+def test_url_scores_and_verdicts_are_those_of_plain_models(spark, order, share):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
-    a, order = url_filter.A, 2
+    pages = pages.unionByName(spark.createDataFrame([(-1, "http://x.é/" + "ab" * 300), (-2, None), (-3, "")], "page_id long, url string"))
+
+    def spelled(url):
+        plain = "".join("0" if c in "123456789" else c for c in (url or "").lower())
+        return "".join(c if c in url_filter.LETTERS else url_filter.OTHER for c in plain)
+
+    rows = url_filter.ruled(url_filter.located(pages)).collect()
+    fold = {r["page_id"]: zlib.crc32(r["url"].encode()) % 5 for r in rows if r["ruling"]}
+    good = {r["page_id"]: int(r["ruling"] == "allow") for r in rows if r["ruling"]}
+    score = plain_models([(spelled(r["url"]), good[r["page_id"]]) for r in rows if fold.get(r["page_id"])], order, share)
+    scores = {r["page_id"]: score(spelled(r["url"])) for r in rows}
+    held = [(max(-400, min(400, math.floor(scores[k] / 0.01))), good[k]) for k, f in fold.items() if not f]
+    all_good, all_bad = sum(g for _, g in held), sum(1 - g for _, g in held)
+    best = max(range(-400, 402), key=lambda c: (round(sum(1 - g for x, g in held if x < c) / all_bad - sum(g for x, g in held if x < c) / all_good, 12), -abs(c), c))
+    found = {r["page_id"]: r for r in url_filter.judged(pages, order=order, share=share).collect()}
+    for r in rows:
+        got = found[r["page_id"]]
+        assert got["score"] == pytest.approx(scores[r["page_id"]], abs=1e-9)
+        assert got["verdict"] == (r["ruling"] or ("allow" if got["score"] >= best * 0.01 else "block"))
 
-    def code(url):
-        return [url_filter.LETTERS.find("0" if c in "123456789" else c) + 1 for c in url.lower()]
 
-    rows = url_filter.ruled(url_filter.located(pages)).withColumn("f", url_filter.F.expr("pmod(xxhash64(url), 5)")).collect()
-    count = {1: Counter(), 0: Counter()}
-    for r in rows:
-        if r["ruling"] and r["f"]:
-            c = [url_filter.START] * order + code(r["url"])
-            for i in range(order, len(c)):
-                for n in range(order + 1):
-                    count[int(r["ruling"] == "allow")][tuple(c[i - n : i + 1])] += 1
-
-    def p(side, gram):
-        followers = {k: n for k, n in count[side].items() if len(k) == len(gram) and k[:-1] == gram[:-1]}
-        n, kinds = sum(followers.values()), len(followers)
-        if len(gram) == 1:
-            return (followers.get(gram, 0) + 1) / (n + a)
-        return p(side, gram[1:]) if not n else (followers.get(gram, 0) + kinds * p(side, gram[1:])) / (n + kinds)
-
-    scores = {r["page_id"]: r for r in url_filter.judged(pages).collect()}
-    for r in rows[:12]:
-        c = [url_filter.START] * order + code(r["url"])
-        grams = [tuple(c[i - order : i + 1]) for i in range(order, len(c))]
-        assert scores[r["page_id"]]["score"] == pytest.approx(sum(math.log(p(1, g) / p(0, g)) for g in grams) / len(grams))
-    judged = [(s["verdict"], s["score"]) for s in scores.values() if s["rule"] is None]
-    assert max([x for v, x in judged if v == "block"], default=-9) < min([x for v, x in judged if v == "allow"], default=9)
+def test_long_urls_cost_their_length(spark):
+    started = time.perf_counter()
+    df = spark.createDataFrame([(1, "http://a.com/" + "ab/" * 350_000), (2, "http://a.net/es/" + "cd/" * 350_000), (3, "ftp://b.org/" + "ab/" * 350_000)], "page_id long, url string")
+    assert len(url_filter.judged(df).collect()) == 3 and time.perf_counter() - started < 60
 
 
 def plain_mix(rows):
