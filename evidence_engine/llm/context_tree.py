@@ -292,8 +292,9 @@ def model(counts: DataFrame, depth: int) -> tuple:
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (key, a, b)], ["key", "a", "b"])
 
     rows = counts.where("shard = -1").select("blob").mapInArrow(decisions, "key long, zeros long, ones long, below double")
+    # added up in many tasks; the one that builds the model gets a row for each decision
     rows = rows.groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
-    row = rows.coalesce(1).mapInArrow(run, "key binary, a binary, b binary").first()
+    row = rows.repartition(1).mapInArrow(run, "key binary, a binary, b binary").first()
     return tuple(map(bytes, row)) if row is not None else (b"", b"", b"")
 
 

@@ -7,7 +7,8 @@ in one task, however large. Rows before the source's budget are taken whole, the
 part, and whole epochs come first where the budget exceeds the source.
 
 Defined results: null text counts 0 words; a null source is a source of its own, the last; sources
-without words have target 0; repeated rows are documents of their own; an empty table gives no rows.
+without words have target 0; repeated rows are documents of their own; texts of any length are counted
+whole; an empty table gives no rows.
 Other columns are kept by mixed() and not read by plan().
 """
 
@@ -30,8 +31,12 @@ KEYS = ["no_source", "src"]
 
 
 def sized(docs: DataFrame, seed: int, bits: int) -> DataFrame:
-    """Size, key and bucket of every document; the text is read here and nowhere else."""
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    """Size, key and bucket of every document; the text is read here and nowhere else.
+
+    The key is of doc_id and text, so that rows of one doc_id, or without any, are spread like others.
+    """
+    named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    key = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
     return docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).cast("string").alias("src"), n_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie")).withColumn(
         "bucket", F.shiftright("key", KEY_BITS - bits)
     )

@@ -82,7 +82,7 @@ ORACLES: dict[str, str] = {
         with sized as (
           select doc_id, coalesce(source, '') src, source is null no_source,
                  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size,
-                 ('0x' || substr(md5('17:' || doc_id), 1, 15))::bigint key from documents),
+                 ('0x' || substr(md5('17:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 15))::bigint key from documents),
         totals as (select src, no_source, sum(size)::bigint source_size, 2.0::double * sum(size)::double cap from sized group by all),
         weighed as (select *, list_extract([3.0::double, 1, 2], ((row_number() over (order by no_source, src)) - 1) % 3 + 1) weight from totals),
         levels as (

@@ -226,7 +226,7 @@ def test_mix_order_is_the_hash(spark):
     rows = {r["doc_id"]: r for r in mixing.taken(df).collect()}
     # a weighs 3 and stops at 2000 words; b gets the other 1000: an epoch and nothing more
     assert {r["taken"] for k, r in rows.items() if k < 100} == {20} and {r["taken"] for k, r in rows.items() if k >= 100} == {10}
-    key = lambda d: md5(f"17:{d}".encode()).hexdigest()[:15]
+    key = lambda d: md5(f"17:{d}:{md5(b'w ' * 10).hexdigest()}".encode()).hexdigest()[:15]
     df = df.where("doc_id < 150")
     part = sorted((r for r in mixing.taken(df).collect() if r["doc_id"] >= 100), key=lambda r: key(r["doc_id"]))
     took = [r["taken"] for r in part]
