@@ -1,13 +1,14 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors become blocks of whole numbers. For one block of queries after another, every candidate is
-scored; tasks count scores in bins, coarse at first, and the bins' global sums tell for each query the
-bin that holds its k-th score. The next round counts finer bins inside that bin only, until bins are
-single scores. A last round emits what scores more, and of what scores as much the smallest vec_ids.
-What a task emits is bounded: of its bins those from the top until they hold k candidates, of ties at
-most k, since no others can matter.
+Vectors become blocks of whole numbers, candidates and queries alike. Every block of candidates meets
+every block of queries, in one job a round: tasks score all pairs of a block pair at once and count scores
+in bins, coarse at first; the bins' global sums tell for each query the bin that holds its k-th score.
+The next round counts finer bins inside that bin only, until bins are single scores. A last round emits
+what scores more, and of what scores as much the smallest vec_ids. What a block pair emits is bounded: of
+its bins those from the top until they hold k candidates, of ties at most k, since no others can matter.
 
-A query block's state is one row a query, on the driver and in the tasks: block_queries bounds it.
+What is known of a query between rounds (the range that holds its k-th score, and how many are above) is a
+row of a table. Nothing is collected, and rounds are few: bits of the largest score over BITS.
 
 Defined results: vectors that are null or hold null or non-finite components take no part. Rows with
 the query's own vec_id are its own; of a query's repeated rows the smallest vector asks. Repeated
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import shared_dir, written
+from evidence_engine.llm.common import written
 
 BLOCK = "dim int, n int, ids binary, xs binary, most double"
 BITS = 11
@@ -70,33 +71,39 @@ def scores(ids, xs, own, qs):
     return found, ids[:, None] != own[None, :]
 
 
-def per_block(frame, state, k: int, emit):
-    """Run emit(ids, scores, allowed, queries' state of the block's length) over the rows of a task."""
+ASKED = "array<struct<query_id:long,x:array<double>,low:long,high:long>>"
+MOST = 2**63 - 1
+
+
+def per_pair(pairs: DataFrame, emit, schema: str) -> DataFrame:
+    """emit(ids, scores, allowed, low, high, own) over pairs of blocks; yields columns named as in schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for dim, ids, xs in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "xs")), strict=True):
-                if dim not in state:
-                    continue
+            for k in range(batch.num_rows):
+                n, dim, ids, xs = (batch.column(c)[k].as_py() for c in ("n", "dim", "ids", "xs"))
+                asked = batch.column("asked")[k].values
+                own, low, high = (asked.field(c).to_numpy() for c in ("query_id", "low", "high"))
+                qs = pa.concat_arrays([asked.field("x").flatten()]).to_numpy().reshape(len(own), dim)
                 ids = np.frombuffer(ids, "<i8")
-                q = state[dim]
-                found, allowed = scores(ids, np.frombuffer(xs, "<f8").reshape(len(ids), dim), q["ids"], q["xs"])
-                for names, columns in emit(ids, found, allowed, q):
+                found, allowed = scores(ids, np.frombuffer(xs, "<f8").reshape(n, dim), own, qs)
+                for columns in emit(ids, found, allowed, low, high, own):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return frame.select("dim", "ids", "xs").mapInArrow(run, {"bins": "query_id long, bin long, n long", "rows": "query_id long, vec_id long, score long"}[emit.kind])
+    return pairs.select("dim", "n", "ids", "xs", "asked").mapInArrow(run, schema)
 
 
 def counted(k: int, shift: int):
     """Histograms: bins of 2**shift scores inside each query's range, from the top until they hold what is needed."""
 
-    def emit(ids, found, allowed, q):
+    def emit(ids, found, allowed, low, high, own):
         import numpy as np
 
-        inside = allowed & (found >= q["low"][None, :]) & (found <= q["high"][None, :])
+        inside = allowed & (found >= low[None, :]) & (found <= high[None, :])
         bins = np.where(inside, found >> shift, np.iinfo("int64").min)
         need = min(k, len(ids))
         least = np.partition(bins, len(ids) - need, axis=0)[len(ids) - need]
@@ -104,83 +111,74 @@ def counted(k: int, shift: int):
         pair = np.stack([col, bins[row, col]])
         if pair.size:
             kinds, n = np.unique(pair, axis=1, return_counts=True)
-            yield ["query_id", "bin", "n"], (q["ids"][kinds[0]], kinds[1].astype("int64"), n.astype("int64"))
+            yield own[kinds[0]], kinds[1].astype("int64"), n.astype("int64")
 
-    emit.kind = "bins"
     return emit
 
 
 def chosen(k: int):
     """Candidates above each query's k-th score, and of those with that score the k smallest vec_ids."""
 
-    def emit(ids, found, allowed, q):
+    def emit(ids, found, allowed, low, high, own):
         import numpy as np
 
-        row, col = np.nonzero(allowed & (found > q["low"][None, :]))
-        ties_row, ties_col = np.nonzero(allowed & (found == q["low"][None, :]))
+        row, col = np.nonzero(allowed & (found > low[None, :]))
+        ties_row, ties_col = np.nonzero(allowed & (found == low[None, :]))
         order = np.lexsort((ids[ties_row], ties_col))
         ties_row, ties_col = ties_row[order], ties_col[order]
         nth = np.arange(len(ties_col)) - np.searchsorted(ties_col, ties_col)
         row, col = np.concatenate([row, ties_row[nth < k]]), np.concatenate([col, ties_col[nth < k]])
         if len(row):
-            yield ["query_id", "vec_id", "score"], (q["ids"][col], ids[row], found[row, col])
+            yield own[col], ids[row], found[row, col]
 
-    emit.kind = "rows"
     return emit
 
 
+def narrowed(bins: DataFrame, state: DataFrame, k: int, shift: int) -> DataFrame:
+    """state with each query's range cut to the bin that holds its k-th score; with fewer than k candidates nothing is left to count."""
+    falling = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = bins.join(state.select("query_id", "above"), "query_id").withColumn("upto", F.col("above") + F.sum("n").over(falling)).where(F.col("upto") >= k)
+    reached = upto.groupBy("query_id").agg(F.max_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("above")), "bin").alias("r"))
+    low = F.shiftleft(F.col("r.bin"), shift)
+    rows = state.join(reached, "query_id", "left")
+    return rows.select(
+        "query_id",
+        F.when(F.col("r").isNull(), F.col("low")).otherwise(F.greatest("low", low)).alias("low"),
+        F.when(F.col("r").isNull(), F.col("low") - 1).otherwise(F.least("high", low + F.lit((1 << shift) - 1))).alias("high"),
+        F.coalesce("r.above", "above").alias("above"),
+    )
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block_queries: int = 512) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of each row for which is_query (a condition) holds."""
-    spark = vectors.sparkSession
     candidates = written(blocks(vectors, scale), "vector-blocks")
-    asking = vectors.where(is_query).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    asking = asking.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    asking = written(asking.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda v: F.floor(v * F.lit(scale)).cast("double")).alias("x")), "queries")
-    n = asking.count()
-    n_blocks = -(-n // block_queries)
-    most = candidates.agg(F.max("most")).first()[0] or 0.0
-    out = shared_dir(spark, "top-k")
-    empty = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    empty.write.parquet(out)
-    for b in range(n_blocks):
-        rows = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).collect()
-        search(candidates, rows, k, most).write.mode("append").parquet(out)
-    ranked = spark.read.schema(empty.schema).parquet(out).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def search(candidates: DataFrame, rows: list, k: int, most: float) -> DataFrame:
-    """What may be among the k best of the queries in rows (one block of them)."""
-    import numpy as np
-
-    state = {}
-    for dim in sorted({r["dim"] for r in rows}):
-        of = [r for r in rows if r["dim"] == dim]
-        xs = np.array([r["x"] for r in of], "f8").reshape(len(of), dim)
-        edge = min(2**62, int(most * (np.abs(xs).max() if xs.size else 0.0) * max(1, dim)) + 1)
-        state[dim] = {"ids": np.array([r["vec_id"] for r in of], "i8"), "xs": xs, "low": np.full(len(of), -edge if edge < 2**62 else -(2**63) + 1, "i8"), "high": np.full(len(of), edge if edge < 2**62 else 2**63 - 1, "i8"), "edge": edge}
-    shift = max([0, *(s["edge"].bit_length() + 1 - BITS for s in state.values())])
-    above: dict[int, int] = {}
-    while state:
-        bins = per_block(candidates, state, k, counted(k, shift)).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        falling = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-        # at most k bins of a query are of use: each holds a candidate
-        found = bins.withColumn("at", F.row_number().over(falling)).where(F.col("at") <= k).select("query_id", "bin", "n", "at").collect()
-        reached: dict[int, tuple[int, int]] = {}
-        for r in sorted(found, key=lambda r: (r["query_id"], r["at"])):
-            held, level = reached.get(r["query_id"], (above.get(r["query_id"], 0), None))
-            if held < k:
-                reached[r["query_id"]] = (held + r["n"], r["bin"]) if held + r["n"] >= k else (held + r["n"], None)
-                if held + r["n"] >= k:
-                    above[r["query_id"]] = held
-        for s in state.values():
-            for i, q in enumerate(s["ids"].tolist()):
-                level = reached.get(q, (0, None))[1]
-                if level is not None:
-                    s["low"][i], s["high"][i] = max(int(s["low"][i]), level << shift), min(int(s["high"][i]), (level << shift) + (1 << shift) - 1)
-                elif shift == 0 or not above.get(q):
-                    s["high"][i] = s["low"][i]  # fewer than k candidates in all: everything is taken
+    asking = vectors.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("x"))
+    asking = asking.where(F.col("query_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    # as blocks() has them, and of repeated rows one
+    whole = F.transform("x", lambda v: F.least(F.lit(1e300), F.greatest(F.lit(-1e300), F.when(F.abs(v) < 1e15, F.floor(v * F.lit(scale)).cast("double")).otherwise(v * F.lit(scale)))))
+    asking = asking.groupBy("query_id").agg(F.min("x").alias("x")).select("query_id", F.size("x").alias("dim"), whole.alias("x"))
+    asking = written(asking, "queries")
+    n_blocks = max(1, -(-asking.count() // block_queries))
+    most, dim = candidates.agg(F.max("most"), F.max("dim")).first()
+    bound = (most or 0.0) * (most or 0.0) * max(1, dim or 0)
+    edge = int(bound) + 1 if bound < 2**62 else MOST
+    state = asking.select("query_id", F.lit(-edge).cast("long").alias("low"), F.lit(edge).cast("long").alias("high"), F.lit(0).cast("long").alias("above"))
+
+    def pairs(state: DataFrame) -> DataFrame:
+        """Every block of candidates with every block of the queries of its length."""
+        row = F.struct("query_id", "x", "low", "high")
+        asked = asking.join(state, "query_id").groupBy("dim", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(row).cast(ASKED).alias("asked"))
+        asked = written(asked.select(F.col("dim").alias("of"), "asked"), "query-blocks")
+        # a join on the length would put all vectors of one length into one task
+        return candidates.crossJoin(asked).where("dim <= of and dim >= of")
+
+    shift = max(0, edge.bit_length() + 1 - BITS)
+    while True:
+        bins = per_pair(pairs(state), counted(k, shift), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        state = written(narrowed(bins, state, k, shift), "query-ranges")
         if shift == 0:
             break
         shift = max(0, shift - BITS)
-    return per_block(candidates, state, k, chosen(k))
+    found = per_pair(pairs(state), chosen(k), "query_id long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
