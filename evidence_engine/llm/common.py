@@ -16,8 +16,28 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+#: Scratch folders of this process; they go when it ends.
+SCRATCH: set[str] = set()
+
+
+@atexit.register
+def cleared() -> None:
+    """Delete the scratch folders, on a local disk or in any store that the session, if there still is one, writes to."""
+    spark = SparkSession.getActiveSession()
+    for path in SCRATCH:
+        if is_local(path):
+            shutil.rmtree(local_path(path), ignore_errors=True)
+        elif spark is not None:
+            deleted(spark, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark._jsc.hadoopConfiguration()).delete(of, True)
+
+
+def shared_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only with keep it outlives the process.
 
     Only where that setting is missing (tests, a notebook) one is made: below the system's temporary
     folder for a local master, below the warehouse on a cluster.
@@ -29,8 +49,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if is_local(path):
-        atexit.register(shutil.rmtree, local_path(path), ignore_errors=True)
+    if not keep:
+        SCRATCH.add(path)
     return path
 
 
@@ -89,7 +109,6 @@ def parallelism(spark: SparkSession) -> int:
 
 def dropped(table: DataFrame) -> None:
     """Delete the files of a table of written() that nothing reads any more."""
-    spark = table.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        deleted(table.sparkSession, folder)
+        SCRATCH.discard(folder)

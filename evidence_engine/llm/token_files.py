@@ -8,7 +8,7 @@ adds up sizes to its frame, checks that frame's checksum and decompresses nothin
 Ids are little-endian unsigned integers of 2 bytes where the vocabulary allows it and of 4 otherwise.
 
 Defined results: a null or empty text has the end id alone; repeated rows and repeated doc_ids are
-written each (ties in doc_id by their ids); a null doc_id sorts first; an empty table gives no file.
+written each (ties in doc_id by a hash of their texts); a null doc_id sorts first; an empty table gives no file; a text of any length is one frame, which its task holds whole.
 Other columns, whatever their names, are not read.
 """
 
@@ -27,8 +27,8 @@ from evidence_engine.llm.pieces import PieceEncoder, released, slices
 #: The public seekable format's numbers.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
-DOCS_PER_FILE = 5_000
-FRAME = "doc_id long, file long, n_tokens long, crc32 long, frame binary, n_bytes long, xxh32 long"
+#: The most documents of a file, and bytes after which no more are added to it.
+DOCS_PER_FILE, FILE_BYTES = 5_000, 64 << 20
 MANIFEST = "file long, path string, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -140,75 +140,54 @@ def grouped(tokenizer, size: int = 256):
     return encode
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int], level: int = 3) -> DataFrame:
-    """A compressed frame for each document, with the number of the file that it belongs to."""
+def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, docs_per_file: int = DOCS_PER_FILE, file_bytes: int = FILE_BYTES, level: int = 3) -> DataFrame:
+    """Encode every text and write the files; returns their manifest, itself written in the shared folder.
 
-    def frames(batches):
+    Texts are dealt by ranges of (doc_id, hash of the text), so a doc_id with very many rows is split too.
+    Each task sorts its range, encodes it and streams it into files, and begins a new file where one has
+    docs_per_file documents or file_bytes bytes; a file's number is its task's and its place there.
+    """
+    spark = docs.sparkSession
+    tasks = max(parallelism(spark), -(-docs.count() // docs_per_file))
+
+    def write(batches):
         import os
-        from bisect import bisect_right
+        import uuid
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import pyarrow as pa
         import xxhash
         import zstandard
+        from pyspark import TaskContext
 
         tokenizer, encoder = library(tokenizer_path)
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         zip_ = zstandard.ZstdCompressor(level=level)
-        end, short_end = np.asarray([end_id], "<u4").tobytes(), np.asarray([end_id], f"<u{width}").tobytes()
+        end, task = np.asarray([end_id], f"<u{width}").tobytes(), TaskContext.get().partitionId()
+        writer, done = None, []
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, out = part.column(0).to_pylist(), [[], [], [], [], []]
                 codes, ends = encoder.texts(part.column(1).to_pylist())
                 short = codes.astype(f"<u{width}")
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    raw = codes[a:b].tobytes() + end
-                    body = short[a:b].tobytes() + short_end
-                    for to, x in zip(out, (len(raw) // 4, zlib.crc32(raw), zip_.compress(body), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF), strict=True):
-                        to.append(x)
-                files = [0 if d is None else bisect_right(bounds, d) for d in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, files, *out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "file", "n_tokens", "crc32", "frame", "n_bytes", "xxh32"])
-        released()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frames, FRAME)
-
-
-def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
-    """Encode every text and write the files; returns their manifest, itself written beside them.
-
-    Files are ranges of doc_id. Their bounds are quantiles of doc_id, so that a file has about
-    docs_per_file documents; each task sorts its own files and streams them out.
-    """
-    spark = docs.sparkSession
-    n = docs.count()
-    n_files = max(1, -(-n // docs_per_file))
-    bounds = []
-    if n_files > 1:
-        parts = [k / n_files for k in range(1, n_files)]
-        bounds = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), parts, 10_000)).first()[0]))
-
-    def write(batches):
-        import uuid
-
-        import pyarrow as pa
-
-        writer, file, done = None, None, []
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            for doc_id, f, n_tokens, _, frame, n_bytes, xxh32 in zip(*cols, strict=True):
-                if f != file:
-                    if writer:
-                        done.append((file, *writer.close()))
-                    # each attempt writes its own file; the manifest names those of the attempts that counted
-                    file, writer = f, FileWriter(f"{folder}/tokens-{f:06d}-{uuid.uuid4().hex[:8]}.zst", n_bytes // n_tokens)
-                writer.add(doc_id, n_tokens, frame, n_bytes, xxh32)
+                for doc_id, a, b in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    if writer and (len(writer.docs) >= docs_per_file or writer.n_bytes >= file_bytes):
+                        done.append(writer.close())
+                        writer = None
+                    if not writer:
+                        # each attempt writes its own files; the manifest names those of the attempts that counted
+                        writer = FileWriter(f"{folder}/tokens-{task:06d}-{len(done):04d}-{uuid.uuid4().hex[:8]}.zst", width)
+                    body = short[a:b].tobytes() + end
+                    writer.add(doc_id, b - a + 1, zip_.compress(body), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF)
         if writer:
-            done.append((file, *writer.close()))
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "path", "n_docs", "n_tokens", "n_bytes"])
+            done.append(writer.close())
+        released()
+        rows = [((task << 32) + k, *d) for k, d in enumerate(done)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    frames = encoded(docs, tokenizer_path, end_id, bounds)
-    dealt = frames.repartition(max(parallelism(spark), min(n_files, 10_000)), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "crc32", "n_tokens")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -232,9 +211,9 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return starts.repartition(parallelism(manifest.sparkSession), "path").mapInArrow(read, READ)
+    return starts.repartition(parallelism(manifest.sparkSession)).mapInArrow(read, READ)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
     """Write documents as token files in the shared folder and read them back."""
-    return read_files(write_files(docs, shared_dir(docs.sparkSession, "token-files"), tokenizer_path, end_id, docs_per_file))
+    return read_files(write_files(docs, shared_dir(docs.sparkSession, "token-files", keep=True), tokenizer_path, end_id, docs_per_file))
