@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from collections import Counter
 from hashlib import sha256
 
 from evidence_engine.llm import pii
@@ -59,16 +61,56 @@ def test_base_is_plain_python(spark):
     assert pii.found(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_documents_and_added_spans(spark):
+def test_documents_keep_their_base_spans(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    added = 0
     for r in pii.found(df).collect():
         wanted, spans = expect(texts[r["doc_id"]])
-        assert tuple(r)[1:6] == wanted
-        for s in set(r["spans"].split(",")) - spans - {""}:
-            kind, a, b = s.split(":")
-            found = texts[r["doc_id"]][int(a) : int(b)]
-            assert (kind == "secret" and found.startswith("token")) or (kind == "card" and luhn(found))
+        assert tuple(r)[1:6] == wanted and spans <= set(r["spans"].split(","))
+        added += len(set(r["spans"].split(",")) - spans - {""})
+    assert added
+
+
+def test_held_out_examples(spark):
+    """Of other examples than those fitted to: nearly all that was planted is found by the model, whole, and little else."""
+    model = pii.fit(spark)
+    made = pii.pii_examples.made(1200, seed=5)
+    rows = pii.spans(pii.with_spans(spark.createDataFrame(made)), model).collect()
+    hit, of, wrong, clean = Counter(), Counter(), 0, 0
+    for r in rows:
+        meeting = [s for s in r["spans"] if s["start"] < r["end"] and r["start"] < s["end"]]
+        if r["personal"]:
+            of[r["kind"]] += 1
+            hit[r["kind"]] += any(abs(s["start"] - r["start"]) <= 1 and abs(s["end"] - r["end"]) <= 1 for s in meeting)
+        else:
+            clean += 1
+            wrong += bool(meeting)
+    assert all(hit[k] >= 0.8 * of[k] for k in of), (hit, of)
+    assert wrong <= 0.03 * clean, (wrong, clean)
+
+
+def test_other_forms_are_added(spark):
+    cases = {
+        "reach me at 202-555-0143 or so": "phone:12:24",
+        "tel (202) 555-0199, thanks": "phone:4:18",
+        "mail john.doe [at] example.com today": "email:5:30",
+        "write jane (at) site.org now": "email:6:24",
+        "on 2024-05-17 and 17.05.2024": "",
+        "look (at) this, two @ 5": "",
+        "token: documentation": "",
+    }
+    rows = pii.found(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert {list(cases)[r["doc_id"]]: r["spans"] for r in rows} == cases
+
+
+def test_many_matches_cost_about_the_length(spark):
+    texts = ["a@b.co " * 20_000, "token=a1B2c3D4e5F6g7H8 " * 8000, "1 2 3 4 5 6 7 8 9 " * 3000, "x" * 1_000_000 + " @", "4111 1111 1111 1111, " * 4000]
+    started = time.perf_counter()
+    rows = pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_email"], r["n_card"]) for r in rows} == {0: (20_000, 0), 1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 4000)}
+    out = pii.redacted(spark.createDataFrame([(0, texts[0])], "doc_id long, text string")).first()["text"]
+    assert out == "<EMAIL> " * 20_000 and time.perf_counter() - started < 90
 
 
 def test_cards_in_a_row_are_added(spark):
@@ -102,13 +144,17 @@ def test_long_secrets_are_whole(spark):
 
 
 def test_trees_learn():
-    rows = [((g, d, l, 0, 0, 0, 0, 0, 0, 0, 0), 50.0 * (l and d > 2), 50.0 * (not (l and d > 2))) for g in range(2) for d in range(5) for l in range(2)]  # noqa: E741
+    n = len(pii.FEATURES)
+    rows = [((g, d, l, *[0] * (n - 3)), 50.0 * (l and d > 2), 50.0 * (not (l and d > 2))) for g in range(2) for d in range(5) for l in range(2)]  # noqa: E741
     trees = pii.Trees(rows)
     assert all((trees.score(x) > 0) == (yes > no) for x, yes, no in rows)
-    assert pii.Trees([]).score((0,) * 11) == 0.0
+    assert pii.Trees([]).score((0,) * n) == 0.0
 
 
 def test_redacted(spark):
     df = spark.createDataFrame([(1, "mail é@ jo.x@y.org, now 10.0.0.1", "a"), (2, None, "b"), (3, "clean", "c")], "doc_id long, text string, whole string")
     out = {r["doc_id"]: (r["text"], r["whole"]) for r in pii.redacted(df).collect()}
     assert out == {1: ("mail é@ <EMAIL>, now <IP>", "a"), 2: (None, "b"), 3: ("clean", "c")}
+    far = "é😀" * 3000 + " a@b.co " + "x" * 5000 + " 1.2.3.4@c.de and 10.0.0.1"
+    text = pii.redacted(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()["text"]
+    assert text == "é😀" * 3000 + " <EMAIL> " + "x" * 5000 + " <EMAIL> and <IP>"
