@@ -7,23 +7,14 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import bpe, context_tree, jaccard_join, mixing, pii, quality, suffix_dedup, token_files, top_k, url_filter
-from evidence_engine.llm.common import documents
-
-
-#: Rows of an Arrow batch: whole texts in both JVM and Python have to fit an executor's memory beside each other.
-ARROW_ROWS = "2500"
-
-
-#: Token files keep little beside a batch, and larger ones share more pieces.
-ARROW_ROWS_OF = {"op3_token_files": "10000"}
-
+from evidence_engine.llm.common import bounded_batches, documents
 
 def bounded(fn):
-    """The query with batches of its rows."""
+    """The query with batches of bounded size."""
 
     @wraps(fn)
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS_OF.get(fn.__name__, ARROW_ROWS))
+        bounded_batches(spark)
         return fn(spark, sf_dir)
 
     return run
