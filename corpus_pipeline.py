@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import bpe, jaccard_join, mixing, pii, quality
-from evidence_engine.llm.common import documents, written
-from evidence_engine.llm.queries import ARROW_ROWS, tokenizer_file
+from evidence_engine.llm.common import bounded_batches, documents, written
+from evidence_engine.llm.queries import tokenizer_file
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    bounded_batches(spark)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
