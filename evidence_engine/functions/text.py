@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 TOKEN = r"[0-9]{1,4}[/-][0-9]{4}[/-]qh[0-9]+|\p{Nd}+[a-z]?|[\p{L}\p{Nl}\p{No}]+"
 DOCUMENT_NUMBER = r"(?iU)\b([0-9]{1,4})\s*[/-]\s*([0-9]{4})\s*[/-]\s*QH\s*([0-9]+)\b"
 PAGE_NUMBER = r"(?iU)^\s*(?:[-–—]\s*[0-9]{1,4}\s*[-–—]|(?:trang|page)\s+[0-9]{1,4}(?:\s*/\s*[0-9]{1,4})?)\s*$"
 
 
-def nfc(text: Column) -> Column:
-    """Unicode composition; Spark has no function for it."""
-    import unicodedata
+#: What composition may change: marks, and letters that have another form of their own.
+COMPOSABLE = r"[\p{M}\x{340}\x{341}\x{37E}\x{387}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
+
+
+@cache
+def compositions() -> tuple[str, str, str]:
+    """From Unicode's tables: letters and the letters they stand for, then pairs (what is composed, into what), those with the fewest marks first."""
+    single, pairs = [], []
+    for c in map(chr, range(0xA0, 0x2FA20)):
+        if not unicodedata.decomposition(c) or unicodedata.decomposition(c).startswith("<"):
+            continue
+        whole, parts = unicodedata.normalize("NFC", c), unicodedata.normalize("NFD", c)
+        if whole != c:
+            if len(whole) == 1:
+                single.append((c, whole))
+            else:
+                pairs.append((0, c, whole))
+            continue
+        for k in range(1, len(parts)):
+            # marks may come in any order
+            rest = unicodedata.normalize("NFC", parts[:k] + parts[k + 1 :])
+            if len(rest) == 1 and unicodedata.normalize("NFC", rest + parts[k]) == c:
+                pairs.append((len(parts), rest + parts[k], c))
+    return "".join(x for x, _ in single), "".join(y for _, y in single), "\ue000".join(f"{x}\ue001{y}" for _, x, y in sorted(pairs))
+
 
-    @pandas_udf("string")
-    def compose(s):
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def nfc(text: Column) -> Column:
+    """Unicode composition, for which Spark has no function: one replacement for each pair, in texts that have anything to compose.
 
-    return compose(text)
+    Marks that compose with nothing keep their order, and Hangul letters stay apart.
+    """
+    letters, stand_for, pairs = compositions()
+    both = F.split(F.lit(pairs), "\ue000")
+    one = lambda t, p: F.replace(t, F.substring_index(p, "\ue001", 1), F.substring_index(p, "\ue001", -1))
+    return F.when(F.rlike(text, F.lit(COMPOSABLE)), F.aggregate(both, F.translate(text, letters, stand_for), one)).otherwise(text)
 
 
 def line_form(text: Column) -> Column:
@@ -36,7 +62,8 @@ def folded(text: Column) -> Column:
 
 
 def search_form(text: Column) -> Column:
-    return folded(F.lower(text))
+    """Composed, in lower case, white space folded; null as empty."""
+    return folded(F.lower(nfc(text)))
 
 
 def is_page_number(line: Column) -> Column:
@@ -44,7 +71,7 @@ def is_page_number(line: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    found = F.regexp_extract_all(search_form(text), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.lower(nfc(F.coalesce(text, F.lit("")))), F.lit(TOKEN), F.lit(0))
     return F.transform(found, lambda t: F.replace(t, F.lit("-"), F.lit("/")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import references, same, search_form, tokens
+from evidence_engine.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
+def matched(chunks: DataFrame, queries: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings of the questions' terms, and the corpus' statistics, in one pass over texts.
+
+    Each chunk's tokens, and one empty one that stands for the chunk itself, meet the terms in the task that
+    read it (terms are few, so Spark broadcasts them; otherwise it moves tokens); only what is left is
+    counted and moved. It is written, as frequencies, scores and statistics all go back to it.
+    """
+    wanted = query_terms(queries).select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
+    rows = chunks.select("chunk_id", tokens(F.col(text)).alias("t"))
+    rows = rows.select("chunk_id", F.size("t").cast("long").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
+    found = written(rows.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "matched")
+    return found.where("term <> ''"), corpus_stats(found.where("term = ''"))
+
+
 def scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, config: BM25 = BM25()) -> DataFrame:
     """(query_id, chunk_id, bm25_score), rounded.
 

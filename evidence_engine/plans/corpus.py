@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidence_engine.functions.text import search_form
 from evidence_engine.operators import cleaning, dense, evaluation, evidence, fusion, lexical, structure
 from evidence_engine.plans.registry import query
-from evidence_engine.sources.scratch import written
+from evidence_engine.sources.scratch import spread, written
 from evidence_engine.sources.tables import chunk_violations
 
 TERMS = "the of tion thing ention erand"
@@ -15,7 +15,7 @@ YEARS = {"fr": "2013", "en": "2024", "de": "2025"}
 
 
 def docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def chunks(spark, sf):
@@ -46,7 +46,9 @@ def stats(spark, sf):
 
 
 def lexical_hits(spark, sf, k):
-    rows = lexical.search(postings(spark, sf), stats(spark, sf), questions(spark, sf), top_k=k)
+    asked = questions(spark, sf)
+    lists, facts = lexical.matched(chunks(spark, sf), asked)
+    rows = lexical.search(lists, facts, asked, top_k=k)
     return rows.select("query_id", "chunk_id", "rank", F.col("bm25_score").alias("score"))
 
 
@@ -82,7 +84,7 @@ def cleaning_stats(spark, sf):
 
 
 INDEX = r"""
-  tok as (select doc_id::varchar chunk_id, regexp_extract_all(lower(text), '[0-9]{1,4}[/-][0-9]{4}[/-]qh[0-9]+|[0-9]+[a-z]?|\p{L}+') t from documents),
+  tok as (select doc_id::varchar chunk_id, regexp_extract_all(lower(nfc_normalize(text)), '[0-9]{1,4}[/-][0-9]{4}[/-]qh[0-9]+|[0-9]+[a-z]?|\p{L}+') t from documents),
   dl as (select chunk_id, len(t)::bigint dl from tok),
   post as (select chunk_id, term, count(*)::bigint tf from (select chunk_id, unnest(t) term from tok) group by all),
   stats as (select count(*)::bigint n, avg(dl) avgdl from dl),
@@ -92,7 +94,7 @@ SCORES = """
     from q join post using (term) join df using (term) join dl using (chunk_id), stats group by all)"""
 ASKED = r"""
   asked as (select item_id query_id, text || case item_id % 3 when 1 then ' theo luật 2013' when 2 then ' so sánh 2013 2024' else '' end query from benchmark),
-  q as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[0-9]{1,4}[/-][0-9]{4}[/-]qh[0-9]+|[0-9]+[a-z]?|\p{L}+')) term from asked)"""
+  q as (select distinct query_id, unnest(regexp_extract_all(lower(nfc_normalize(query)), '[0-9]{1,4}[/-][0-9]{4}[/-]qh[0-9]+|[0-9]+[a-z]?|\p{L}+')) term from asked)"""
 
 
 def lexical_sql(k: int) -> str:
@@ -129,7 +131,7 @@ def idf_table(spark, sf):
 @query("bm25_topk", f"with {INDEX}, q as (select 1 query_id, unnest(string_split('{TERMS}', ' ')) term), {SCORES} select chunk_id, score from scored where score > 0 order by score desc, chunk_id desc limit 20")
 def bm25_topk(spark, sf):
     asked = spark.createDataFrame([(1, TERMS)], "query_id int, query string")
-    found = lexical.scores(postings(spark, sf), stats(spark, sf), asked).where("bm25_score > 0")
+    found = lexical.scores(*lexical.matched(chunks(spark, sf), asked), asked).where("bm25_score > 0")
     return found.orderBy(F.desc("bm25_score"), F.desc("chunk_id")).limit(20).select("chunk_id", F.col("bm25_score").alias("score"))
 
 

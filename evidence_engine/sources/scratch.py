@@ -17,3 +17,14 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of files over all tasks that run at once, where its files give fewer tasks: the texts of a small file are one task's otherwise.
+
+    A table of that many partitions' bytes or more is read as its files are cut, and not moved.
+    """
+    spark = df.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks) if size < tasks * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df

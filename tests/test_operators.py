@@ -205,3 +205,28 @@ def test_cleaning_against_a_loop(spark):
 
 def test_spoken_numbers():
     assert len(speech.NUMBERS) == 9 + 9 * 11 + 8 and speech.NUMBERS["chín mươi chín"] == 99 and speech.NUMBERS["hai mươi mốt"] == 21 and "mười mốt" not in speech.NUMBERS
+
+
+def test_composition_is_unicodes(spark):
+    import random
+    import unicodedata
+
+    r = random.Random(4)
+    texts = [None, "", "\u0110i\u1ec1u ki\u1ec7n", "e\u0302\u0323 e\u0323\u0302 \u212b \u212a", "\u0958 \u2adc \uf900"]
+    letters = [c for c in map(chr, range(0xC0, 0x1F00)) if unicodedata.normalize("NFC", c) == c and unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<")]
+    texts += ["".join(unicodedata.normalize("NFD", r.choice(letters)) + r.choice(["", " ", "a"]) for _ in range(30)) for _ in range(200)]
+    texts += ["".join(r.choice("aeouAEOUđ") + "".join(r.sample("̛̣̂̆́̀̉̃", r.randint(0, 1))) for _ in range(20)) for _ in range(200)]
+    found = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", text.nfc(text.F.col("t")).alias("n")).collect()
+    for row in found:
+        t = texts[row["id"]]
+        assert row["n"] == (None if t is None else unicodedata.normalize("NFC", t))
+
+
+def test_decomposed_questions_are_as_good(spark):
+    import unicodedata
+
+    question = "Điều 27: quyền chuyển nhượng đất"
+    rows = spark.createDataFrame([(1, question), (2, unicodedata.normalize("NFD", question))], "query_id long, query string")
+    a, b = (r["t"] for r in rows.select(text.tokens(text.F.col("query")).alias("t")).collect())
+    assert a == b and "chuyển" in a
+    assert len({r["article"] for r in rows.select(text.references(text.F.col("query"))["article"].alias("article")).collect()}) == 1
