@@ -107,6 +107,8 @@ class Engine:
     strict: bool = True
     overfetch: int = 1
     written: Callable[[DataFrame], DataFrame] = written
+    tokens: evidence.Tokens = evidence.WORDS
+    most_prompt_tokens: int | None = 7000
 
     def kept(self, df: DataFrame) -> DataFrame:
         """A small table that several later ones read, or generated text, which is made once: written and read again."""
@@ -121,19 +123,29 @@ class Engine:
 
     def context(self, hits: DataFrame) -> DataFrame:
         """Evidence rows (query_id, evidence_pos, chunk_id, block, metadata) in order and within budget."""
-        order = self.kept(evidence.expanded(self.kept(hits), self.chunks, self.context_tokens))
+        price = self.tokens.count(evidence.block(F.lit(1), evidence.path_of(), F.col("text")))
+        order = self.kept(evidence.expanded(self.kept(hits), self.chunks, self.context_tokens, price))
         rows = order.join(self.chunks, "chunk_id").withColumn("block", evidence.block(F.col("evidence_pos"), evidence.path_of(), F.col("text")))
-        packed = evidence.packed(rows.select("query_id", "evidence_pos", "block"), self.context_tokens)
+        packed = evidence.packed(rows.select("query_id", "evidence_pos", "block"), self.context_tokens, self.tokens)
         return packed.join(rows.drop("block"), ["query_id", "evidence_pos"])
 
+    def made(self, messages: Column) -> Column:
+        """What the generator makes of messages; a prompt of more than most_prompt_tokens is an error."""
+        if self.most_prompt_tokens is None:
+            return generated(messages, self.generate)
+        size = self.tokens.count(F.array_join(F.transform(messages, lambda m: m["content"]), "\n"))
+        checked = F.when(size > self.most_prompt_tokens, F.raise_error(F.lit(f"a prompt has more than {self.most_prompt_tokens} tokens; lower context_tokens"))).otherwise(messages)
+        return generated(checked, self.generate)
+
     @staticmethod
     def joined(rows: DataFrame) -> DataFrame:
         parts = F.array_sort(F.collect_list(F.struct("evidence_pos", "block")))
         return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda b: b["block"]), "\n\n").alias("context"))
 
     def ask(self, queries: DataFrame) -> DataFrame:
-        """query_id, mode, answer and rule of every question; rule names what made an answer unfit."""
-        routed = queries.withColumn("mode", route_intent(F.col("query")))
+        """query_id, mode, answer and rule of every question; rule names what made an answer unfit. A blank question is an error."""
+        asked = F.when(F.trim(F.coalesce("query", F.lit(""))) == "", F.raise_error(F.lit("empty question"))).otherwise(F.col("query"))
+        routed = queries.withColumn("query", asked).withColumn("mode", route_intent(F.col("query")))
         plain = self.answer(routed.where("mode = 'qa'")).withColumn("mode", F.lit("qa"))
         both = self.compare(routed.where("mode = 'comparison'")).withColumn("mode", F.lit("comparison"))
         return plain.unionByName(both)
@@ -144,7 +156,7 @@ class Engine:
         hits = hits.withColumn("nth", F.row_number().over(fusion.Window.partitionBy("query_id").orderBy("pos"))).where(F.col("nth") <= self.top_k).drop("nth")
         sources = self.kept(self.context(hits))
         asked = queries.join(self.joined(sources), "query_id")
-        raw = self.kept(asked.select(F.col("query_id").alias("answer_id"), generated(prompts.question_messages(F.col("query"), F.col("context")), self.generate).alias("answer")))
+        raw = self.kept(asked.select(F.col("query_id").alias("answer_id"), self.made(prompts.question_messages(F.col("query"), F.col("context"))).alias("answer")))
         refused = F.trim("answer") == V.NO_EVIDENCE
         tagged, used = raw.where(~refused), sources.withColumnRenamed("query_id", "answer_id")
         used = used.join(tagged.select("answer_id"), "answer_id", "left_semi")
@@ -187,7 +199,7 @@ class Engine:
             base = asked.select(F.col("query_id").alias("answer_id"), prompts.comparison_messages(F.col("query"), F.col("old"), F.col("new"), sections).alias("base"))
             pending = base.withColumn("messages", F.col("base"))
             for attempt in range(self.retries + 1):
-                raw = self.kept(pending.select("answer_id", "base", generated(F.col("messages"), self.generate).alias("answer")))
+                raw = self.kept(pending.select("answer_id", "base", self.made(F.col("messages")).alias("answer")))
                 tidy = self.kept(comparison.canonical(raw.select("answer_id", "answer")))
                 lines = F.filter(F.split("answer", "\n"), lambda x: F.trim(x) != "")
                 heads = [V.COMPARISON_SECTIONS[k - 1] for k in sections]

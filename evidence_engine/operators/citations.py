@@ -112,6 +112,44 @@ def rendered(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return body.join(sources, "answer_id", "left").select("answer_id", whole.alias("answer"))
 
 
+def cited(answers: DataFrame, evidence: DataFrame, supports: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """(answer_id, answer, rule): answers with sources that the caller names, nothing guessed.
+
+    supports: answer_id, nth, claim and chunk_ids. With more than one source each claim's first place in the
+    answer gets its marks, in order of nth. Without supports the sources are those of chosen (answer_id,
+    chunk_id), or all. rule names what made an answer unfit (its text is null then): a claim that it lacks,
+    or a chunk that is no evidence.
+    """
+    if supports is not None:
+        chosen = supports.select("answer_id", F.explode("chunk_ids").alias("chunk_id"))
+    sources = numbered(evidence, chosen)
+    strange = answers.limit(0).select("answer_id") if chosen is None else unknown(evidence, chosen).select("answer_id").distinct()
+    listed = sources.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("number", "cite", "chunk_ids"))).alias("sources"))
+    rows = answers.join(listed, "answer_id", "left").join(strange.withColumn("strange", F.lit(True)), "answer_id", "left")
+    line = F.array().cast("array<struct<nth:long,claim:string,chunk_ids:array<string>>>")
+    if supports is not None:
+        steps = F.array_sort(F.collect_list(F.struct(F.col("nth").cast("long").alias("nth"), "claim", "chunk_ids")))
+        rows = rows.join(supports.groupBy("answer_id").agg(steps.alias("steps")), "answer_id", "left")
+        line = F.when(F.size("sources") > 1, F.coalesce("steps", line)).otherwise(line)
+
+    def marks(ids: Column) -> Column:
+        numbers = F.transform(ids, lambda i: F.get(F.filter("sources", lambda s: F.array_contains(s["chunk_ids"], filled(i))), F.lit(0))["number"])
+        return F.array_join(F.transform(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull())), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
+
+    def step(a: Column, s: Column) -> Column:
+        at = F.when(F.length(s["claim"]) > 0, F.call_function("instr", a["text"], s["claim"])).otherwise(0)
+        marked = F.concat_ws(" ", F.regexp_replace(s["claim"], r"(?U)\s+$", ""), F.nullif(marks(s["chunk_ids"]), F.lit("")))
+        text = F.concat(F.left(a["text"], at - 1), marked, F.substring(a["text"], at + F.length(s["claim"]), F.length(a["text"])))
+        return F.struct(F.when(at > 0, text).otherwise(a["text"]).alias("text"), (a["lost"] | (at == 0)).alias("lost"))
+
+    start = F.struct(F.regexp_replace("answer", r"(?U)^\s+|\s+$", "").alias("text"), F.lit(False).alias("lost"))
+    rows = rows.withColumn("made", F.aggregate(line, start, step))
+    shown = F.array_join(F.transform("sources", lambda c: F.concat(F.lit("["), c["number"].cast("string"), F.lit("] "), c["cite"])), "\n")
+    whole = F.when(F.size("sources") > 0, F.concat(F.col("made.text"), F.lit(f"\n\n{V.BIBLIOGRAPHY}\n"), shown)).otherwise(F.col("made.text"))
+    rule = F.when(F.col("strange"), "chunk_not_in_evidence").when(F.col("made.lost"), "claim_not_in_answer")
+    return rows.select("answer_id", F.when(rule.isNull(), whole).alias("answer"), rule.alias("rule"))
+
+
 def cards(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     """(answer_id, number, card): sources as escaped HTML with the passages behind them."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))

@@ -60,7 +60,7 @@ def blocks(content: bytes):
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """BLOCKS of all *.docx files below a folder; none is an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(folder)
     if files.isEmpty():
         raise FileNotFoundError(f"no .docx file in {folder}")
 

@@ -5,15 +5,17 @@ Recognition and synthesis are callables; their failures become warnings, those o
 
 from __future__ import annotations
 
+import os
 import time
 import wave
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import vocabulary as V
-from evidence_engine.functions.speech import transcript_form
+from evidence_engine.functions.speech import transcript
 
 
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,12 +49,32 @@ def transcribe(recognize: Callable[[str], str], path: str | None) -> dict:
         if not path:
             raise ValueError("no audio")
         out["raw"] = recognize(path)
-        out["normalized"] = transcript_form(out["raw"])
+        out["normalized"] = SparkSession.builder.getOrCreate().range(1).select(transcript(F.lit(out["raw"]))).first()[0]
     except Exception as e:
         out["warnings"].append(f"STT: {e}")
     return out | {"stt_ms": (time.perf_counter() - started) * 1000}
 
 
+def synthesized(speak: Callable[[str, str], None], path: str, seconds: float = 45.0) -> Callable[[str], str]:
+    """A step that has speak(text, path) write an audio file; what failed, took too long or left nothing leaves no file."""
+
+    def run(text: str) -> str:
+        worker = ThreadPoolExecutor(1)
+        try:
+            worker.submit(speak, text, path).result(timeout=seconds)
+            if not os.path.exists(path) or not os.path.getsize(path):
+                raise ValueError("no audio was written")
+        except BaseException:
+            if os.path.exists(path):
+                os.remove(path)
+            raise
+        finally:
+            worker.shutdown(wait=False, cancel_futures=True)
+        return path
+
+    return run
+
+
 def respond(answer: Callable[[str], dict], confirmed: str, transcript: dict | None = None, speak: Callable[[str], str] | None = None) -> dict:
     """The answer to a confirmed question and, if speak is given, where its speech is."""
     if not isinstance(confirmed, str) or not confirmed.strip():

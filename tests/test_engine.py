@@ -1,15 +1,16 @@
 """From DOCX files to cited answers, with stand-ins for models."""
 
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine import __main__ as cli
-from evidence_engine import engine, voice
+from evidence_engine import config, engine, voice
 from evidence_engine.functions import vocabulary as V
 from evidence_engine.operators import structure
-from evidence_engine.sources import docx, tables
+from evidence_engine.sources import docx, files, tables
 from evidence_engine.streaming.ingest import ingest
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -96,6 +97,52 @@ def test_cli_build_and_query(built, tmp_path, capsys):
     assert "Nộp thuế" in capsys.readouterr().out
 
 
+def test_cli_dense_and_hybrid(spark, built, tmp_path, capsys):
+    (tmp_path / "c.yaml").write_text("bm25:\n  k1: 1.2\n  top_k: 2\nmetadata_boost:\n  article: 9.0\nembedding:\n  query_prefix: 'query: '\nretrieval:\n  top_k: 3\n  rrf_k: 50\npaths:\n  index: x/y\n")
+    made = config.load(str(tmp_path / "c.yaml"))
+    assert (made.lexical.k1, made.lexical.article_boost, made.lexical.top_k, made.dense.top_k, made.hybrid.rrf_k, made.paths) == (1.2, 9.0, 2, 3, 50, {"index": str(tmp_path / "x/y")})
+    cli.main(["build", str(built), str(tmp_path / "x"), "--encoder", "test_engine:encode"])
+    for method in ("dense", "hybrid"):
+        capsys.readouterr()
+        cli.main(["query", str(tmp_path / "x"), "nghĩa vụ nộp thuế đầy đủ", "Điều 26", "--method", method, "--encoder", "test_engine:encode", "--config", str(tmp_path / "c.yaml"), "--top-k", "2"])
+        rows = [json.loads(line) for line in capsys.readouterr().out.strip().split("\n")]
+        assert {(r["query_id"], r["rank"]) for r in rows} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    with pytest.raises(SystemExit):
+        cli.main(["query", str(tmp_path / "x"), "x", "--method", "dense"])
+
+
+def test_settings_without_the_package(monkeypatch):
+    import sys
+
+    text = "# x\nbm25:\n  k1: 1.5  # a\n  name: \"a: b\"\nload: true\npaths:\n  chunks: a/b.json\n"
+    whole = config.parsed(text)
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    assert config.parsed(text) == whole == {"bm25": {"k1": 1.5, "name": "a: b"}, "load": True, "paths": {"chunks": "a/b.json"}}
+
+
+def test_files_for_others(spark, folder, tmp_path):
+    out = str(tmp_path / "o")
+    cli.main(["clean", str(folder), out, "--texts"])
+    manifest = json.loads((tmp_path / "o/texts/manifest.json").read_text())
+    assert [m["document_id"] for m in manifest] == sorted(LAWS, key=str.lower)
+    text = (tmp_path / "o/texts/luat-45-2013-QH13.txt").read_text()
+    assert text.startswith("Chương I\nQUY ĐỊNH CHUNG\n") and text.endswith("\n") and "- 3 -" not in text
+    stats = json.loads((tmp_path / "o/texts/luat-45-2013-QH13.stats.json").read_text())
+    assert stats["output_line_count"] == len(text.strip().split("\n"))
+    # a manifest from another machine: the names beside it count
+    for m in manifest:
+        m["output_file"] = "/elsewhere/" + m["output_file"]
+    (tmp_path / "o/texts/manifest.json").write_text(json.dumps(manifest))
+    cli.main(["parse", str(tmp_path / "o/texts/manifest.json"), str(tmp_path / "p"), "--json"])
+    cli.main(["parse", out, str(tmp_path / "q")])
+    assert spark.read.parquet(f"{tmp_path}/p/chunks").drop("source_file").exceptAll(spark.read.parquet(f"{tmp_path}/q/chunks").drop("source_file")).isEmpty()
+    chunks = json.loads((tmp_path / "p/chunks.json").read_text())
+    assert len(chunks) == spark.read.parquet(f"{tmp_path}/p/chunks").count() and len(json.loads((tmp_path / "p/structured_documents.json").read_text())) == 2
+    (tmp_path / "o/texts/luat-45-2013-QH13.txt").unlink()
+    with pytest.raises(FileNotFoundError):
+        files.read_manifest(spark, str(tmp_path / "o/texts/manifest.json"))
+
+
 def good(batches):
     """A generator that follows the rules: it cites what the prompt shows."""
     import re
@@ -139,7 +186,7 @@ def test_unfit_answers_are_named(spark, built, tmp_path):
     assert found[1] == (None, "claim_without_tag") and found[2][0] is None and found[2][1]
 
 
-def test_voice(tmp_path):
+def test_voice(spark, tmp_path):
     heard = voice.transcribe(lambda p: "điều mười hai", "a.wav")
     assert heard["normalized"] == "Điều 12" and voice.transcribe(lambda p: 1 / 0, "a.wav")["warnings"] and voice.transcribe(str, None)["warnings"]
     said = voice.respond(lambda q: {"answer": "có"}, "hỏi", heard, lambda t: 1 / 0)
@@ -150,6 +197,22 @@ def test_voice(tmp_path):
         voice.respond(lambda q: {"answer": "x"}, "  ")
 
 
+def test_synthesis_leaves_no_part(tmp_path):
+    import time
+
+    path = tmp_path / "a.mp3"
+    assert voice.synthesized(lambda t, p: path.write_text(t), str(path))("có") == str(path) and path.read_text() == "có"
+
+    def slow(text, p):
+        path.write_text("part")
+        time.sleep(1)
+
+    for bad in (slow, lambda t, p: 1 / 0, lambda t, p: path.write_text("")):
+        with pytest.raises(Exception):  # noqa: B017
+            voice.synthesized(bad, str(path), 0.3)("x")
+        assert not path.exists()
+
+
 def test_audio_files(spark, tmp_path):
     import wave
 

@@ -153,6 +153,11 @@ def test_packing_stops_where_admission_skips(spark):
     rows = spark.createDataFrame([(1, k, "w " * n) for k, n in enumerate([40, 70, 20, 50, 10], 1)] + [(2, 1, "a b c d"), (2, 2, "e")], "query_id int, evidence_pos int, block string")
     assert [(r["query_id"], r["evidence_pos"], r["tokens"]) for r in evidence.packed(rows, 100).collect()] == [(1, 1, 40), (2, 1, 4), (2, 2, 1)]
     assert [(r["evidence_pos"], r["block"]) for r in evidence.packed(rows.where("query_id = 2"), 3).collect()] == [(1, "a b c")]
+    lines = spark.createDataFrame([(1, 1, "a\n b  c\nd e")], "query_id int, evidence_pos int, block string")
+    assert evidence.packed(lines, 4).first()["block"] == "a\n b  c\nd"
+    assert tuple(evidence.packed(lines, 4, evidence.CHARACTERS).first())[2:] == ("a\n b", 4)
+    model = evidence.tokens_of(lambda texts: [list(map(ord, t)) for t in texts], lambda ids: ["".join(map(chr, i)) for i in ids])
+    assert tuple(evidence.packed(lines, 4, model).first())[2:] == ("a\n b", 4)
     line = spark.createDataFrame([(1, k, n, f"c{n}") for k, n in enumerate([40, 70, 20, 50, 10], 1)], "query_id int, turn int, cost int, chunk_id string")
     assert {r["chunk_id"] for r in evidence.admitted(spark.createDataFrame([], "query_id int, cost int"), line, 100).collect()} == {"c40", "c20", "c10"}
 
@@ -167,6 +172,29 @@ def test_tags(spark):
     assert [r["chunk_id"] for r in lost] == ["zz"]
 
 
+def test_manual_citing(spark):
+    answers = spark.createDataFrame([(1, " Ý một. Ý hai, ý một. "), (2, "Chỉ một nguồn"), (3, "x"), (4, "mất ý"), (9, "không có")], "answer_id long, answer string")
+    proof = spark.createDataFrame(
+        [(1, 1, "c1", "Luật A", "Điều 1"), (1, 2, "c2", "Luật A", "Điều 2"), (1, 3, "c3", "Luật A", "Điều 1"), (2, 1, "d1", "Luật B", None), (3, 1, "e1", "Luật C", None), (4, 1, "f1", "Luật D", None), (4, 2, "f2", "Luật E", None)],
+        "answer_id long, evidence_pos long, chunk_id string, document_title string, article string",
+    ).withColumns({c: F.lit(None).cast("string") for c in ("document_id", "clause", "point")})
+    supports = spark.createDataFrame([(1, 2, "ý một", ["c2", "c3", "c1"]), (1, 1, "Ý hai ", ["c3"]), (1, 3, "Ý hai", ["c1"]), (2, 1, "nguồn", ["d1"]), (3, 1, "x", ["zz"]), (4, 1, "khác", ["f1", "f2"])], "answer_id long, nth int, claim string, chunk_ids array<string>")
+    found = {r["answer_id"]: (r["answer"], r["rule"]) for r in citations.cited(answers, proof, supports.where("claim <> 'Ý hai '")).collect()}
+    assert found == {
+        1: (f"Ý một. Ý hai [1], ý một [2][1].\n\n{V.BIBLIOGRAPHY}\n[1] Luật A → Điều 1\n[2] Luật A → Điều 2", None),
+        2: (f"Chỉ một nguồn\n\n{V.BIBLIOGRAPHY}\n[1] Luật B", None), 3: (None, "chunk_not_in_evidence"), 4: (None, "claim_not_in_answer"), 9: ("không có", None),
+    }
+    assert citations.cited(answers.where("answer_id = 1"), proof, supports).first()["rule"] == "claim_not_in_answer"
+    chosen = spark.createDataFrame([(1, "c2")], "answer_id long, chunk_id string")
+    assert citations.cited(answers.where("answer_id = 1"), proof, chosen=chosen).first()["answer"].endswith(f"{V.BIBLIOGRAPHY}\n[1] Luật A → Điều 2")
+    assert citations.cited(answers.where("answer_id = 2"), proof).first()["answer"].endswith("[1] Luật B")
+
+
+def test_identity(spark):
+    rows = spark.createDataFrame([(1, 1, "a", None, "t"), (1, 2, None, "a", "u"), (1, 3, "", "", "t"), (1, 4, None, None, "t"), (1, 5, None, None, "v")], "query_id int, pos int, chunk_id string, metadata_chunk_id string, text string")
+    assert sorted(r["pos"] for r in evidence.first_of_each(rows).collect()) == [1, 3, 5]
+
+
 def test_prompts(spark):
     q, c = F.lit("Luật 2013 là gì?"), F.lit("[Nguồn 1]\nx")
     messages = spark.range(1).select(prompts.question_messages(q, c)).first()[0]
@@ -187,6 +215,8 @@ def test_prompts(spark):
 def test_checks_of_chunks(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", "y"), (" ", "z"), ("b", None)], "chunk_id string, text string")
     assert {(r["chunk_id"], r["rule"]) for r in chunk_violations(rows).collect()} == {("a", "repeated_id"), (" ", "blank_id"), ("b", "blank_text")}
+    other = spark.createDataFrame([("a", "x", "a"), ("b", "y", "c"), ("d", "z", None)], "chunk_id string, text string, metadata_chunk_id string")
+    assert {(r["chunk_id"], r["rule"]) for r in chunk_violations(other).collect()} == {("b", "other_id_in_metadata"), ("d", "other_id_in_metadata")}
 
 
 def test_cleaning_against_a_loop(spark):
