@@ -145,9 +145,12 @@ def vector_norm_check(spark, sf):
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.round(dense.norm(F.col("embedding")), 5).alias("norm"), F.size("embedding").alias("dim"))
 
 
-@query("vector_violations", "select vec_id, 'dimension' as rule from embeddings where len(embedding) <> 64")
+@query("vector_violations", """select vec_id, case when vec_id % 7 = 0 then 'null' when vec_id % 11 = 0 or len(embedding) <> 64 then 'dimension' when vec_id % 13 in (0, 1) then 'value' end as rule from embeddings
+  where vec_id % 7 = 0 or vec_id % 11 = 0 or vec_id % 13 in (0, 1) or len(embedding) <> 64""")
 def vector_violations(spark, sf):
-    return dense.violations(spark.read.parquet(f"{sf}/embeddings.parquet"), 64)
+    broken = """case when vec_id % 7 = 0 then null when vec_id % 11 = 0 then slice(embedding, 1, 10) when vec_id % 13 = 0 then transform(embedding, (x, i) -> if(i = 5, float('nan'), x))
+      when vec_id % 13 = 1 then transform(embedding, (x, i) -> if(i = 63, float('-infinity'), x)) else embedding end"""
+    return dense.violations(spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("embedding", F.expr(broken)), 64)
 
 
 @query("unit_vectors", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) total from embeddings")
@@ -320,13 +323,31 @@ def greedy_expand(spark, sf):
     return evidence.admitted(found.select("query_id", evidence.n_words(F.col("text")).cast("long").alias("cost")), near, BUDGET)
 
 
-@query("context_pack", f"""with {HITS}, n as (select query_id, pos, {WORDS} n from hits), upto as (select *, sum(n) over (partition by query_id order by pos) s from n)
-  select query_id, pos::bigint evidence_pos, least(n, 1500)::bigint tokens from upto where s <= 1500 or pos = 1""")
+@query("context_pack", f"""with {HITS}, n as (select query_id, pos, {WORDS} n, text from hits), upto as (select *, sum(n) over (partition by query_id order by pos) s from n)
+  select query_id, pos::bigint evidence_pos, least(n, 1500)::bigint tokens, md5(case when n > 1500 then array_to_string(regexp_extract_all(text, '\\s*\\S+')[1:1500], '') else text end) digest from upto where s <= 1500 or pos = 1""")
 def context_pack(spark, sf):
-    return evidence.packed(hits(spark, sf).select("query_id", F.col("pos").alias("evidence_pos"), F.col("text").alias("block")), 1500).select("query_id", "evidence_pos", "tokens")
+    rows = evidence.packed(hits(spark, sf).select("query_id", F.col("pos").alias("evidence_pos"), F.col("text").alias("block")), 1500)
+    return rows.select("query_id", "evidence_pos", "tokens", F.md5("block").alias("digest"))
 
 
-@query("evidence_order", None)
+@query("context_pack_characters", f"""with {HITS}, n as (select query_id, pos, length(text) n, text from hits), upto as (select *, sum(n) over (partition by query_id order by pos) s from n)
+  select query_id, pos::bigint evidence_pos, least(n, 3000)::bigint tokens, md5(substr(text, 1, 3000)) digest from upto where s <= 3000 or pos = 1""")
+def context_pack_characters(spark, sf):
+    rows = evidence.packed(hits(spark, sf).select("query_id", F.col("pos").alias("evidence_pos"), F.col("text").alias("block")), 3000, evidence.CHARACTERS)
+    return rows.select("query_id", "evidence_pos", "tokens", F.md5("block").alias("digest"))
+
+
+EXPANDED = f"""{NEAR},
+  priced as (select query_id, doc_id, turn, 6 + len(string_split(trim(source), ' ')) + 1 + len(string_split(trim(lang), ' ')) + {WORDS} as cost from turns join documents using (doc_id, text)),
+  spent as (select query_id, sum(6 + len(string_split(trim(source), ' ')) + 1 + len(string_split(trim(lang), ' ')) + {WORDS}) s from hits group by query_id),
+  walk as (select query_id, 0::bigint turn, s, null::bigint took from spent
+    union all select w.query_id, p.turn, case when s + cost <= {BUDGET} then s + cost else s end, case when s + cost <= {BUDGET} then p.doc_id end from walk w join priced p on p.query_id = w.query_id and p.turn = w.turn + 1),
+  every as (select query_id, doc_id, pos, false expanded from hits union all select query_id, took, null, true from walk where took is not null)"""
+
+
+@query("evidence_order", f"""with recursive {EXPANDED},
+  placed as (select v.*, first_pos from every v join documents d using (doc_id) left join targets t on t.query_id = v.query_id and t.source = d.source and t.lang = d.lang)
+  select query_id, (row_number() over (partition by query_id order by coalesce(first_pos, pos), case when first_pos is not null then doc_id end nulls first, doc_id::varchar))::bigint evidence_pos, doc_id::varchar chunk_id, expanded from placed""")
 def evidence_order(spark, sf):
     rows = [F.lit(None).cast("string").alias(c) for c in ("chapter", "section", "article_title", "clause", "point")]
     corpus = chunks(spark, sf).select("*", *rows)
