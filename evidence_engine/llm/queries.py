@@ -47,7 +47,7 @@ def op7_bpe(spark, sf_dir):
 
 
 def op4_url_filter(spark, sf_dir):
-    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).withColumn("score", F.round("score", 6))
 
 
 def op5_mixing(spark, sf_dir):
@@ -67,8 +67,57 @@ def op10_top_k(spark, sf_dir):
     return top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def url_sql() -> str:
+    """The rules, both models context by context, and the threshold; places in URLs are looked up by their longest kept context."""
+    order, letters = url_filter.ORDER, ", ".join(f"'{c}'" for c in url_filter.LETTERS)
+    fits = lambda host, path: f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}')"
+    ranked = [(v, r, *r.split("/", 1)) for v, r in sorted(url_filter.RULES, key=lambda x: (-len(x[1]), x[1]))]
+    chosen = lambda k: "case " + " ".join(f"when {fits(r[2], r[3])} then '{r[k]}'" for r in ranked) + " end"
+    levels = "".join(
+        f""",
+        p{d} as (select a.context, a.letter, case when all1 = 0 then q.p1 else (coalesce(n1, 0) + kinds1 * q.p1) / (all1 + kinds1) end p1, case when all0 = 0 then q.p0 else (coalesce(n0, 0) + kinds0 * q.p0) / (all0 + kinds0) end p0
+          from (select *, unnest([{letters}]) letter from kept where depth = {d}) a left join counts c on c.depth = {d} and c.context = a.context and c.letter = a.letter join p{d - 1} q on q.context = substr(a.context, 2) and q.letter = a.letter)"""
+        for d in range(1, order + 1)
+    )
+    return f"""
+        with located as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+        parts as (select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from located),
+        ruled as (select *, {chosen(1)} as rule, {chosen(0)} as ruling,
+          regexp_replace(translate(lower(coalesce(url, '')), '123456789', '000000000'), '[^a-z0/.\\-_?=&%:#@~+]', '{url_filter.OTHER}', 'g') x from parts),
+        examples as (select x, (ruling = 'allow')::int good, ('0x' || substr(md5(url), 1, 8))::bigint % 5 fold from ruled where ruling is not null),
+        places as (select good, '{url_filter.START * order}' || x x, unnest(range(1, length(x) + 1)) i from examples where fold <> 0),
+        grams as (select good, substr(x, i + {order}, 1) letter, depth, substr(x, i + {order} - depth, depth) context from places, (select unnest(range(0, {order + 1})) depth)),
+        counts as (select depth, context, letter, sum(good)::double n1, sum(1 - good)::double n0 from grams group by all),
+        contexts as (select depth, context, sum(n1 + n0) n, sum(n1) all1, sum(n0) all0, count(*) filter (n1 > 0) kinds1, count(*) filter (n0 > 0) kinds0 from counts group by all),
+        kept as (select * from contexts where depth = 0 or n * {url_filter.SHARE} >= (select count(*) from places)),
+        p0 as (select a.context, a.letter, (coalesce(n1, 0) + 1) / (all1 + {url_filter.A}) p1, (coalesce(n0, 0) + 1) / (all0 + {url_filter.A}) p0
+          from (select *, unnest([{letters}]) letter from kept where depth = 0) a left join counts c on c.depth = 0 and c.letter = a.letter){levels},
+        p as ({" union all ".join(f"select * from p{d}" for d in range(order + 1))}),
+        urls as (select page_id, '{url_filter.START * order}' || x x, unnest(range(1, length(x) + 1)) i from ruled),
+        seen as (select page_id, i, letter, arg_max(context, depth) context from (select page_id, i, substr(x, i + {order}, 1) letter, depth, substr(x, i + {order} - depth, depth) context from urls, (select unnest(range(0, {order + 1})) depth)) g join kept using (depth, context) group by all),
+        scores as (select page_id, sum(ln(p1 / p0)) / count(*) score from seen join p using (context, letter) group by page_id),
+        scored as (select r.*, coalesce(score, 0) score from ruled r left join scores using (page_id)),
+        held as (select greatest(-{url_filter.GRID}, least({url_filter.GRID}, floor(score / {url_filter.STEP})))::int cell, (ruling = 'allow')::int good from scored where ruling is not null and ('0x' || substr(md5(url), 1, 8))::bigint % 5 = 0),
+        grid as (select cell, (select coalesce(sum(good), 0) from held h where h.cell < g.cell) lost, (select coalesce(sum(1 - good), 0) from held h where h.cell < g.cell) caught from (select unnest(range(-{url_filter.GRID}, {url_filter.GRID + 2})) cell) g),
+        sides as (select coalesce(sum(good), 0) good, coalesce(sum(1 - good), 0) bad from held),
+        best as (select case when bad = 0 then '-infinity'::double when good = 0 then 'infinity'::double else {url_filter.STEP} * (select arg_max(cell, (coalesce(caught / nullif(bad, 0), 0) - coalesce(lost / nullif(good, 0), 0), -abs(cell), cell)) from grid) end least from sides)
+        select page_id, host, path, rule, coalesce(ruling, case when score >= least then 'allow' else 'block' end) verdict, round(score, 6) score from scored, best"""
+
+
 QUERIES = {f.__name__: bounded(f) for f in (op1_suffix_dedup, op2_pii, op3_token_files, op4_url_filter, op5_mixing, op6_context_tree, op7_bpe, op8_jaccard_join, op9_quality, op10_top_k)}
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+        windows as (select doc_id, s, substr(x, 2 * s + 1, 200) w from (select doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 99))) s from d)),
+        first as (select w, min((doc_id, s)) f from windows group by w having count(*) > 1),
+        again as (select doc_id, s from windows join first using (w) where (doc_id, s) <> f),
+        marked as (select *, coalesce(s > lag(s) over (partition by doc_id order by s) + 100, true) opens from again),
+        runs as (select doc_id, min(s) a, max(s) + 100 b from (select *, sum(opens::int) over (partition by doc_id order by s) r from marked) group by doc_id, r),
+        cuts as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) p from runs),
+        gaps as (select doc_id, sum(b - a) n_removed, count(*) n_spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(x), 2 * max(b) + 1) kept from cuts join d using (doc_id) group by doc_id)
+        select d.doc_id, (length(x) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256
+        from d left join gaps using (doc_id)""",
+    "op4_url_filter": url_sql(),
     "op5_mixing": """
         with sized as (
           select doc_id, coalesce(source, '') src, source is null no_source,
