@@ -114,6 +114,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_out(aggregate: DataFrame) -> DataFrame:
+    """An aggregate as a side of a join on its key, dealt anew before the join deals it by key.
+
+    Joined directly, it would stay where it was added up, and Spark can split the rows of a hot key on the other
+    side only if both sides come from shuffles of the join's own. The aggregate has a row a key, so it is cheap to move.
+    """
+    return aggregate.repartition(parallelism(aggregate.sparkSession))
+
+
 def dropped(table: DataFrame) -> None:
     """Delete the files of a table of written() that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:

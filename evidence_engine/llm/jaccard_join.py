@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import shards as S
-from evidence_engine.llm.common import dropped, parallelism, written
+from evidence_engine.llm.common import dropped, parallelism, spread_out, written
 from evidence_engine.llm.components import components
 
 MULTIPLY = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -193,7 +193,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """token, leader and every entry of its list that could link to it. A list's leader has it earliest of all."""
     leaders = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", "l")
-    return entries.join(leaders, "token").select("token", F.col("l.key").alias("a"), F.col("key").alias("b"), F.struct("n", "pos").alias("e"), "l").where("a <> b").where(can_reach(percent, "l", "e")).select("token", "a", "b")
+    return entries.join(spread_out(leaders), "token").select("token", F.col("l.key").alias("a"), F.col("key").alias("b"), F.struct("n", "pos").alias("e"), "l").where("a <> b").where(can_reach(percent, "l", "e")).select("token", "a", "b")
 
 
 def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +238,8 @@ def placed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]
     members = sets.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "digest", F.col("n").alias("n_shingles"), "key")
     indexed = sets.where("entries is not null")
     entries = written(indexed.select("key", "n", F.explode("entries").alias("e")).select(F.col("e.token").alias("token"), "key", "n", F.col("e.pos").alias("pos")).distinct(), "shingle-entries")
-    whole = indexed.groupBy("key").agg(F.first("tokens").alias("tokens"))
+    # a table of its own: four joins read it, and pairs of a set with very many are split in each
+    whole = written(indexed.groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "distinct-sets")
 
     with_leader = written(leader_pairs(entries, percent), "leader-pairs")
     judged = written(compared(with_leader.select("a", "b").distinct(), whole, percent), "leader-links")
@@ -248,8 +249,8 @@ def placed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]
     sorted_out = entries.join(nodes, entries["key"] == nodes["node"], "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
     split = sorted_out.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     distance = with_leader.join(judged.select("a", "b", "distance"), ["a", "b"]).select("token", F.col("b").alias("key"), "distance")
-    sketches = indexed.groupBy("key").agg(F.first("bits").alias("bits"))
-    left = written(sorted_out.join(split, "token").join(distance, ["token", "key"], "left").join(sketches, "key"), "split-lists")
+    sketches = whole.select("key", "bits")
+    left = written(sorted_out.join(spread_out(split), "token").join(distance, ["token", "key"], "left").join(sketches, "key"), "split-lists")
     rest = compared(written(block_pairs(left, percent), "block-pairs"), whole, percent).where("link").select("a", "b")
     # what is new ties components together
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
