@@ -17,6 +17,11 @@ shared lengths are ordered by those alone, and only equal ones are compared, fro
 the merged order and the shared prefixes of neighbours. For each distance from the anchor, neighbours that
 share enough to the right and agree to the left are equal windows; all but the earliest go.
 
+A gram that very many anchors have, with other bytes around it each time, would make one range large. Its
+windows fall into classes by their distance from the anchor. All windows of a class share a stretch of at
+least length * (1 - 1 / CLASSES) bytes or so around it, and the hash of that stretch takes the gram's place
+in the order: a class's windows are equal only if their stretches are, and stretches spread over all ranges.
+
 Suffixes that are equal in one shard, with what is before them, travel once, however many copies there are.
 
 Defined results: null and empty texts have 0 bytes and keep the digest of nothing; texts of fewer than
@@ -34,6 +39,8 @@ from evidence_engine.llm import shards as S
 from evidence_engine.llm.common import parallelism, written
 
 LENGTH, GRAM = 100, 16
+#: Anchors that a gram has when its suffixes are dealt by more than the gram, and into how many classes their windows fall then.
+HOT, CLASSES = 100_000, 8
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 FAN_IN = 256
 MULTIPLY = 0x9E3779B97F4A7C15
@@ -104,8 +111,8 @@ def edges_of(values, bits: int, bucket_bits: int) -> list[int]:
     return np.searchsorted(values, np.arange(1 << bucket_bits, dtype="u8") << np.uint64(bits - bucket_bits)).tolist() + [len(values)]
 
 
-def shared_grams(shards: DataFrame, length: int, gram: int, bits: int, bucket_bits: int, tasks: int) -> DataFrame:
-    """For each shard and bucket a bit for each of its fingerprints: whether another anchor has it too."""
+def shared_grams(shards: DataFrame, length: int, gram: int, bits: int, bucket_bits: int, tasks: int, hot: int) -> DataFrame:
+    """For each shard and bucket a bit for each of its fingerprints: whether another anchor has it too; and the places of those that more than hot have."""
 
     def question(ids, ends, raw):
         import numpy as np
@@ -114,17 +121,18 @@ def shared_grams(shards: DataFrame, length: int, gram: int, bits: int, bucket_bi
         edges = edges_of(mine, bits, bucket_bits)
         for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if j > i:
-                yield b, S.join_blobs(S.pack_sorted(mine[i:j] - (np.uint64(b) << np.uint64(bits - bucket_bits))), S.pack(np.minimum(times[i:j], 2)))
+                yield b, S.join_blobs(S.pack_sorted(mine[i:j] - (np.uint64(b) << np.uint64(bits - bucket_bits))), S.pack(times[i:j]))
 
     def answering(blobs):
         import numpy as np
 
         parts = [(S.unpack_sorted(p), S.unpack(t).astype("i8")) for p, t in map(S.split_blobs, blobs)]
         every, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-        more = np.bincount(place, weights=np.concatenate([t for _, t in parts]), minlength=len(every)) > 1
+        total = np.bincount(place, weights=np.concatenate([t for _, t in parts]), minlength=len(every))
         out, at = [], 0
         for p, _ in parts:
-            out.append(np.packbits(more[place[at : at + len(p)]]).tobytes())
+            mine = total[place[at : at + len(p)]]
+            out.append(S.join_blobs(np.packbits(mine > 1).tobytes(), S.pack_sorted(np.flatnonzero(mine > hot).astype("u8"))))
             at += len(p)
         return out
 
@@ -215,6 +223,20 @@ def merged(runs: list[tuple[list[int], list[bytes], list[int]]]) -> tuple[list[i
     return shared, strings, labels
 
 
+def in_classes(raw: bytes, place, first, last, length: int, gram: int, classes: int = CLASSES):
+    """Anchors with a class of their windows each: the hash of what the class's windows share, place, first and last start."""
+    import numpy as np
+    import xxhash
+
+    edges = np.linspace(0, length - gram + 1, min(classes, length - gram + 1) + 1).astype(int).tolist()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        # windows that start from low to high - 1 bytes before the anchor
+        a, b = np.maximum(first, place - (high - 1)), np.minimum(last, place - low)
+        some = np.flatnonzero(a <= b)
+        stretches = [xxhash.xxh3_64_intdigest(raw[p - low : p - high + 1 + length], seed=low + 1) for p in place[some].tolist()]
+        yield np.array(stretches, "u8"), place[some], a[some], b[some]
+
+
 def runs(shards: DataFrame, answers: DataFrame, length: int, gram: int, bits: int, gram_bits: int, bucket_bits: int) -> DataFrame:
     """Each shard's front-coded runs, one for each bucket. answers are shared_grams() in buckets of gram_bits."""
 
@@ -226,12 +248,19 @@ def runs(shards: DataFrame, answers: DataFrame, length: int, gram: int, bits: in
         hashes, place, first, last = anchors(ends, raw, length, gram)
         mine, _ = prints(hashes, bits)
         edges = edges_of(mine, bits, gram_bits)
-        more = np.zeros(len(mine), bool)
+        more, often = np.zeros(len(mine), bool), np.zeros(len(mine), bool)
         for b, blob in answers.items():
             n = edges[b + 1] - edges[b]
-            more[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(blob, "u1"), count=n).astype(bool)
-        keep = more[np.searchsorted(mine, hashes >> np.uint64(64 - bits))] if len(mine) else np.zeros(0, bool)
-        hashes, place, first, last = hashes[keep], place[keep], first[keep], last[keep]
+            known, hot = S.split_blobs(blob)
+            more[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(known, "u1"), count=n).astype(bool)
+            often[edges[b] + S.unpack_sorted(hot).astype("i8")] = True
+        of = np.searchsorted(mine, hashes >> np.uint64(64 - bits))
+        keep, often = (x[of] if len(mine) else np.zeros(0, bool) for x in (more, often))
+        hashes, place, first, last, often = hashes[keep], place[keep], first[keep], last[keep], often[keep]
+        if often.any():
+            parts = [(hashes[~often], place[~often], first[~often], last[~often])]
+            parts += in_classes(raw, place[often], first[often], last[often], length, gram)
+            hashes, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
         doc = ids[np.searchsorted(ends, place, "right") - 1] if len(place) else np.zeros(0, "i8")
         order = np.lexsort((place, doc)).tolist()
         key, place, first, last, doc = hashes.astype(">u8").tobytes(), place.tolist(), first.tolist(), last.tolist(), doc.tolist()
@@ -349,7 +378,7 @@ def removed(sent: DataFrame, length: int, tasks: int) -> DataFrame:
     return S.answer(sent, answering, tasks)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """What goes from every document: counts, the places in bytes, and the bytes that stay with their digest."""
     shards = S.make(docs.select("doc_id", "text"))
     total = shards.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -358,7 +387,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     bits = min(64, max(32, things.bit_length() + 12))
     by_gram, by_suffix = S.n_buckets(things, tasks), S.n_buckets(things, tasks, 120_000)
     gram_bits, bucket_bits = by_gram.bit_length() - 1, by_suffix.bit_length() - 1
-    grams = written(shared_grams(shards, length, gram, bits, gram_bits, max(tasks, by_gram)), "shared-grams")
+    grams = written(shared_grams(shards, length, gram, bits, gram_bits, max(tasks, by_gram), hot), "shared-grams")
     gone = removed(runs(shards, grams, length, gram, bits, gram_bits, bucket_bits), length, max(tasks, by_suffix))
 
     def telling(ids, ends, raw, answers, shard):

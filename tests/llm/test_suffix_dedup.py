@@ -23,9 +23,9 @@ def plain(rows, length=100):
     return out
 
 
-def check(spark, rows, length=100, partitions=5):
+def check(spark, rows, length=100, partitions=5, **options):
     df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, kept string").repartition(partitions)
-    found = sorted((tuple(r)[:5] for r in D.spans(df, length).collect()), key=str)
+    found = sorted((tuple(r)[:5] for r in D.spans(df, length, **options).collect()), key=str)
     assert found == sorted(plain(sorted(rows, key=lambda r: -1 if r[0] is None else r[0]), length), key=str)
 
 
@@ -54,11 +54,29 @@ def test_random_repeats(spark):
         rows.append((k * 7 % 1009, t))
     check(spark, rows)
     check(spark, rows, length=40, partitions=3)
+    # every gram counts as hot: windows go by classes
+    check(spark, rows, partitions=4, hot=1)
+    check(spark, rows, length=40, hot=3)
 
 
 def test_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows)
+    check(spark, rows, hot=2)
+
+
+def test_a_hot_phrase_spreads_over_all_ranges(spark):
+    """A phrase that all texts share, with other bytes around it: as a gram it is one range's, by classes it isn't."""
+    import numpy as np
+
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("etaoinshrdlu ") for _ in range(n))
+    phrase = "the very same forty bytes or so of words "
+    rows = [(k, noise(150) + phrase + noise(150)) for k in range(300)]
+    raw, at = "".join(t for _, t in rows).encode(), np.arange(300) * (300 + len(phrase)) + 150
+    keys = np.concatenate([k for k, *_ in D.in_classes(raw, at, at - 80, at, 100, 16)])
+    assert len(np.unique(keys)) == len(keys) > 8 * 300 * 0.8
+    check(spark, [*rows, *rows[:3]], hot=5)
 
 
 def test_loser_tree_is_a_sort():
