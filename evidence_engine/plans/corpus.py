@@ -319,7 +319,7 @@ WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))"
   select query_id, took::varchar chunk_id from walk where took is not null""")
 def greedy_expand(spark, sf):
     found = hits(spark, sf)
-    near = evidence.siblings(found, chunks(spark, sf)).select("query_id", "turn", "chunk_id", evidence.n_words(F.col("text")).cast("long").alias("cost"))
+    near = evidence.siblings(found, chunks(spark, sf), counted=False).select("query_id", "turn", "chunk_id", evidence.n_words(F.col("text")).cast("long").alias("cost"))
     return evidence.admitted(found.select("query_id", evidence.n_words(F.col("text")).cast("long").alias("cost")), near, BUDGET)
 
 
