@@ -17,8 +17,8 @@ Links are judged by counting, with no estimate anywhere: 100 * common >= percent
 
 Defined results: null texts and texts without words have no shingles and no links; with fewer than n words
 the whole sequence is one shingle; repeated rows and equal texts are linked; a null doc_id is
-a document like others and never a component's smallest unless all are null; an empty table gives no
-rows. Columns beside doc_id and text are not read by linked() and are kept by one_of_each().
+a document like others and never a component's smallest unless all are null; texts of any length are
+taken whole, and the task that has one holds its shingles; an empty table gives no rows. Columns beside doc_id and text are not read by linked() and are kept by one_of_each().
 """
 
 from __future__ import annotations

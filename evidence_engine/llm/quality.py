@@ -9,7 +9,7 @@ conditions, tried in order.
 Fitting sees at most `sample` labelled rows (the smallest hashes of doc_id); everything else covers all.
 
 Defined results: null and empty texts have no words and fail the base rule; a repeated doc_id is judged
-row by row; without labels of both kinds the list is empty and the base rule alone decides; an empty
+row by row; texts are counted whole, a few megabytes of them, or one longer text, at a time; without labels of both kinds the list is empty and the base rule alone decides; an empty
 table gives no rows; columns beside doc_id and text are not read by judged() and are kept by accepted().
 """
 
