@@ -32,6 +32,8 @@ from evidence_engine.llm.jaccard_join import mixed
 
 #: Bytes of context that op6 learns, and of those contexts that every task of a bucket has the model of.
 DEPTH, TOP = 6, 2
+#: Codes that a bucket takes in before it drops repeats.
+AT_ONCE = 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
@@ -252,17 +254,24 @@ def context_counts(shards: DataFrame, depth: int, bucket_bits: int, tasks: int)
     def answering(blobs):
         import numpy as np
 
-        parts = [S.split_blobs(b) for b in blobs]
-        codes = distinct(np.concatenate([S.unpack_sorted(c) for c, _ in parts]))[0]
-        total, out = np.zeros(len(codes), "u8"), []
-        for c, n in parts:
+        # some shards at a time: what is kept are the bucket's distinct codes, not all that were sent
+        codes, some, size = np.zeros(0, "u8"), [], 0
+        for b in blobs:
+            some.append(S.unpack_sorted(S.split_blobs(b)[0]))
+            size += len(some[-1])
+            if size > max(AT_ONCE, len(codes)):
+                codes, some, size = distinct(np.concatenate([codes, *some]))[0], [], 0
+        codes = distinct(np.concatenate([codes, *some]))[0]
+        total = np.zeros(len(codes), "u8")
+        for b in blobs:
+            c, n = S.split_blobs(b)
             at = np.searchsorted(codes, S.unpack_sorted(c))
             total[at] += S.unpack(n)
-            out.append(S.pack_sorted(at.astype("u8")))
+            yield S.pack_sorted(at.astype("u8"))
         key, zeros, ones, below = (np.concatenate(x) for x in list(zip(*longest(codes, total, depth), strict=True))[2:])
         order = np.argsort(key)
         summary = (S.pack_sorted(codes), S.pack(total), S.pack_sorted(key[order]), S.pack(zeros[order].astype("u8")), S.pack(ones[order].astype("u8")), below[order].tobytes())
-        return [*out, S.join_blobs(*summary)]
+        yield S.join_blobs(*summary)
 
     return S.answer(S.ask(shards, question), answering, tasks)
 
@@ -313,7 +322,8 @@ def context_scores(counts: DataFrame, depth: int, shared, tasks: int) -> DataFra
             p = a[at] + b[at] * p
             logs += np.log10(np.where(codes >> np.uint64(7 - bit) & np.uint64(1), p, 1 - p))
         logs = logs.astype("<f4").view("<u4")
-        return [b"", *(S.pack(logs[S.unpack_sorted(x).astype("i8")]) for x in blobs[1:])]
+        yield b""
+        yield from (S.pack(logs[S.unpack_sorted(x).astype("i8")]) for x in blobs[1:])
 
     return S.answer(counts, answering, tasks).where("shard >= 0")
 

@@ -10,7 +10,7 @@ reads its own again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,10 +122,14 @@ def ask(shards: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]])
     return shards.select("shard", "doc_ids", "sizes", "texts").mapInArrow(run, PART)
 
 
-def answer(questions: DataFrame, answering: Callable[[list[bytes]], list[bytes]], tasks: int) -> DataFrame:
-    """answering(blobs of one bucket) gives a blob for each; rows are (bucket, shard, blob).
+#: Of answers that go on together.
+BATCH_BYTES = 8 << 20
 
-    One blob more than it got is a summary of the bucket; its row has shard -1.
+
+def answer(questions: DataFrame, answering: Callable[[list[bytes]], Iterable[bytes]], tasks: int) -> DataFrame:
+    """answering(blobs of one bucket) gives a blob for each, in order; rows are (bucket, shard, blob).
+
+    One blob more than it got is a summary of the bucket; its row has shard -1. Answers go on as they are made.
     """
 
     def run(batches):
@@ -143,10 +147,19 @@ def answer(questions: DataFrame, answering: Callable[[list[bytes]], list[bytes]]
             if rows:
                 yield bucket, rows
 
+        def batch_of(bucket, part):
+            return pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int64()), pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.binary())], ["bucket", "shard", "blob"])
+
         for bucket, rows in groups():
-            blobs = answering([r[1] for r in rows])
-            to = [*(r[0] for r in rows), -1][: len(blobs)]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(to), pa.int64()), pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "shard", "blob"])
+            part, size = [], 0
+            for to, blob in zip([*(r[0] for r in rows), -1], answering([r[1] for r in rows]), strict=False):
+                part.append((to, blob))
+                size += len(blob)
+                if size > BATCH_BYTES:
+                    yield batch_of(bucket, part)
+                    part, size = [], 0
+            if part:
+                yield batch_of(bucket, part)
         released()
 
     return questions.repartition(tasks, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, PART)
