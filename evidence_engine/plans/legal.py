@@ -248,33 +248,58 @@ def structure_counts(spark, sf):
     return structure.counts(structure.parse(laws(spark, sf)))
 
 
-@query("adaptive_chunks")
+MOST = 400
+TO_ROMAN = "[" + ", ".join(f"'{structure.roman(n)}'" for n in range(1, 21)) + "]"
+STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+CHUNKED = f"""{FACTS},
+  inner_lines as (select *, min(case when kind = 'clause' then line_no end) over (partition by document_id, article) first_clause from facts where article is not null),
+  bare as (select document_id, article, null::bigint clause, null::bigint point, '' lead, string_agg(text, chr(10) order by line_no) content, {MOST} most from inner_lines where first_clause is null group by document_id, article),
+  intros as (select document_id, article, string_agg(text, chr(10) order by line_no) intro from inner_lines where first_clause is not null and clause is null and point is null and kind = 'text' group by document_id, article),
+  own as (select document_id, article, clause, first_clause, string_agg(text, chr(10) order by line_no) filter (where point is null) own, count(point) n_points from inner_lines where clause is not null group by all),
+  whole_clauses as (select o.document_id, o.article, clause, n_points, case when clause = first_clause and intro is not null then intro || chr(10) || own else own end own from own o left join intros i on i.document_id = o.document_id and i.article = o.article),
+  heads_of as (select document_id, article, clause, null::bigint point, '' lead, case when n_points > 0 then {STRIP.format('own')} else own end content, {MOST} most from whole_clauses),
+  own_points as (select document_id, article, clause, point, string_agg(text, chr(10) order by line_no) content from inner_lines where clause is not null and point is not null group by all),
+  points as (select p.document_id, p.article, p.clause, point, {STRIP.format('own')} lead, content, case when length(content) > {MOST} then {MOST} - least(length({STRIP.format('own')}), {MOST // 3}) else {MOST} end most
+    from own_points p join whole_clauses c on c.document_id = p.document_id and c.article = p.article and c.clause = p.clause),
+  parts as (select * from bare union all select * from heads_of union all select * from points),
+  split as (
+    select document_id, article, clause, point, lead, most, 0 piece, null::varchar as out_text, content rem from parts
+    union all
+    select document_id, article, clause, point, lead, most, piece + 1, case when length(rem) <= most then rem else {STRIP.format('substr(rem, 1, cut)')} end, case when length(rem) <= most then null else {STRIP.format('substr(rem, cut + 1)')} end
+    from (select *, case when best <= 0 then most else best + 1 end cut from (
+      select *, case when sentence < most // 2 then case when strpos(head, ' ') > 0 then most - strpos(reverse(head), ' ') else -1 end else sentence end best from (
+        select *, greatest(case when strpos(head, '. ') > 0 then most - strpos(reverse(head), ' .') - 1 else -1 end, case when strpos(head, '; ') > 0 then most - strpos(reverse(head), ' ;') - 1 else -1 end) sentence
+        from (select *, substr(rem, 1, most) head from split where rem is not null and (rem <> '' or piece = 0)))))),
+  pieces as (select *, (row_number() over (partition by document_id, article order by clause nulls first, point nulls first, piece) - 1)::int as sequence, case when lead = '' then out_text else lead || chr(10) || out_text end content from split where piece > 0),
+  of_kind as (select document_id, line_no, number, title, text from facts where kind in ('chapter', 'section', 'article', 'clause', 'point')),
+  around as (select p.document_id, p.article, p.sequence, p.content, a.number article_number, a.title article_title, a.text heading, cl.number clause_number, pt.number point_number,
+      concat_ws(' - ', 'Chương ' || {TO_ROMAN}[ch.number::int], nullif(ch.title, '')) chapter, ch.number chapter_number, concat_ws(' - ', 'Mục ' || sc.number, nullif(sc.title, '')) section, sc.number section_number
+    from pieces p join facts a on a.document_id = p.document_id and a.line_no = p.article left join of_kind ch on ch.document_id = p.document_id and ch.line_no = a.chapter left join of_kind sc on sc.document_id = p.document_id and sc.line_no = a.section
+      left join of_kind cl on cl.document_id = p.document_id and cl.line_no = p.clause left join of_kind pt on pt.document_id = p.document_id and pt.line_no = p.point),
+  made as (select lower(document_id) || '-' || substr(sha1(concat_ws('|', document_id, coalesce(article_number, ''), coalesce(clause_number, ''), coalesce(point_number, ''), sequence::varchar, content)), 1, 16) chunk_id,
+      concat_ws(chr(10), document_id, case when chapter_number is not null then chapter end, case when section_number is not null then section end, case when not starts_with(content, heading) then heading end, content) as text, content, document_id, document_id document_title,
+      case when chapter_number is not null then chapter else '' end chapter, case when section_number is not null then section else '' end section, 'Điều ' || article_number article, article_title, 'Khoản ' || clause_number clause, 'Điểm ' || point_number point,
+      null::varchar source_file, article article_line, sequence, row_number() over (partition by document_id order by article, sequence) - 1 chunk_pos from around)"""
+
+
+@query("adaptive_chunks", f"with recursive {CHUNKED} select * from made")
 def adaptive_chunks(spark, sf):
-    return structure.chunks(written(structure.parse(laws(spark, sf)), "facts"), 400)
-
-
-@query("structure_report")
+    return structure.chunks(written(structure.parse(laws(spark, sf)), "facts"), MOST).na.fill("", ["chapter", "section"])
+
+
+@query("structure_report", f"""with recursive {CHUNKED},
+  repeats as (select document_id, article, number from facts where kind = 'clause' group by all having count(*) > 1),
+  lost as (select f.document_id, f.article, count(*) n from facts f join (select document_id, article_line, string_agg(text, chr(10)) all_text from made group by all) w on w.document_id = f.document_id and w.article_line = f.article where not contains(all_text, f.text) group by all),
+  found as (select document_id, 'section_without_chapter: ' || line_no w from facts where kind = 'section' and implicit union all select document_id, 'point_without_clause: ' || line_no from facts where kind = 'point' and clause is null
+    union all select document_id, 'duplicate_article: Điều ' || number from facts where kind = 'article' group by document_id, number having count(*) > 1 union all select document_id, 'duplicate_clause: ' || article || '/' || number from repeats
+    union all select document_id, 'article_without_chunk: Điều ' || number from facts f where kind = 'article' and not exists (select 1 from made m where m.document_id = f.document_id and m.article_line = f.line_no)
+    union all select document_id, 'duplicate_chunk_id: ' || chunk_id from made group by document_id, chunk_id having count(*) > 1 union all select document_id, 'lines_not_in_chunks: ' || article || ':' || n from lost),
+  warned as (select document_id, string_agg(w, ' | ' order by w) warnings from found group by document_id), counted as (select document_id, count(*) chunks from made group by document_id)
+  select document_id, count(*) filter (kind = 'chapter') chapters, count(*) filter (kind = 'section') sections, count(*) filter (kind = 'article') articles, count(*) filter (kind = 'clause') clauses, count(*) filter (kind = 'point') points,
+    coalesce(any_value(chunks), 0) chunks, coalesce(any_value(warnings), '') warnings from facts left join counted using (document_id) left join warned using (document_id) group by document_id""")
 def structure_report(spark, sf):
     facts = written(structure.parse(laws(spark, sf)), "facts")
-    return structure.report(facts, written(structure.chunks(facts), "chunks")).withColumn("warnings", F.array_join("warnings", " | "))
-
-
-EVIDENCE = [
-    (1, 1, "c1", "Luật A", "Điều 1", "Khoản 1"), (1, 2, "c2", "Luật A", "Điều 2", None), (1, 3, "c3", "Luật A", "Điều 1", "Khoản 1"), (1, 4, "c1", "Luật A", "Điều 1", "Khoản 1"),
-    (2, 1, "d1", "Luật B", "Điều 5", None), (2, 2, "d2", "Luật C", None, None), (3, 1, "e1", "Luật D", None, None),
-]
-ANSWERS = [
-    (1, "Mở đầu:\nÝ một [Nguồn 2] [Nguồn 1].\nÝ hai\n[Nguồn 3]\n\nÝ ba [nguồn 1, Nguồn 2]"), (2, "[Nguồn 1]\nthiếu nhãn\nsai nhãn [Nguồn 9]"), (3, "Kết luận [Nguồn 1] [Nguồn 1]"), (4, " "),
-]
-
-
-def evidence(spark):
-    rows = spark.createDataFrame(EVIDENCE, "answer_id long, evidence_pos long, chunk_id string, document_title string, article string, clause string")
-    return rows.select("*", F.lit(None).cast("string").alias("document_id"), F.lit(None).cast("string").alias("point"), F.concat(F.lit("<"), "chunk_id", F.lit("> & text")).alias("text"))
-
-
-def answers(spark):
-    return spark.createDataFrame(ANSWERS, "answer_id long, answer string")
+    return structure.report(facts, written(structure.chunks(facts, MOST), "chunks")).withColumn("warnings", F.array_join("warnings", " | "))
 
 
 #: Answers and their evidence, made of the benchmark's texts; the same expressions in Spark and in DuckDB.
