@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_engine.functions.text import search_form
+from evidence_engine.functions import vocabulary as V
+from evidence_engine.functions.text import prefixed, search_form
 from evidence_engine.operators import cleaning, dense, evaluation, evidence, fusion, lexical, structure
 from evidence_engine.plans.registry import query
-from evidence_engine.sources.scratch import spread, written
+from evidence_engine.sources import tables
+from evidence_engine.sources.scratch import folder, spread, written
 from evidence_engine.sources.tables import chunk_violations
 
 TERMS = "the of tion thing ention erand"
@@ -140,6 +142,52 @@ def bm25_batch_topk(spark, sf):
     return lexical_hits(spark, sf, 10).select("query_id", "rank", "chunk_id", "score")
 
 
+STORED = INDEX.replace("nfc_normalize(text)", "nfc_normalize(text || chr(10) || source || chr(10) || chr(10) || lang)").replace("from documents)", "from documents where trim(text) <> '')", 1)
+
+
+@query("stored_lexical_index", f"with {STORED}, {ASKED}, {SCORES} select query_id, chunk_id, score, (row_number() over (partition by query_id order by score desc, chunk_id desc))::bigint rank from scored where score > 0 qualify rank <= 5")
+def stored_lexical_index(spark, sf):
+    path = folder(spark, "lexical-index")
+    tables.save_lexical(chunks(spark, sf).where("trim(text) <> ''"), path)
+    lists, facts, _ = tables.load_lexical(spark, path)
+    return lexical.search(lists, facts, questions(spark, sf), top_k=5).select("query_id", "chunk_id", F.col("bm25_score").alias("score"), "rank")
+
+
+@query("stored_dense_index", """with unit as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) e from embeddings),
+  pairs as (select q.vec_id query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) vector_score from unit q join benchmark on item_id = q.vec_id cross join unit v)
+  select query_id, vec_id, vector_score, (row_number() over (partition by query_id order by vector_score desc, vec_id))::bigint rank from pairs qualify rank <= 5""")
+def stored_dense_index(spark, sf):
+    path = folder(spark, "dense-index")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    tables.save_dense(rows, path)
+    vectors = tables.load_dense(spark, path)
+    asked = vectors.join(questions(spark, sf).select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense.search(vectors, asked, 5).select("query_id", "vec_id", "vector_score", "rank")
+
+
+@query("encoder_prefixes", "select doc_id, md5('passage: ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))) digest from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def encoder_prefixes(spark, sf):
+    return docs(spark, sf).where(F.rlike("text", F.lit(r"\S"))).select("doc_id", F.md5(prefixed(F.col("text"), "passage: ")).alias("digest"))
+
+
+@query("context_blocks", "select doc_id, md5('[Nguồn ' || (doc_id % 9 + 1) || ']' || chr(10) || 'Cấu trúc: ' || source || ' → ' || lang || chr(10) || 'Nội dung:' || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13))) digest from documents")
+def context_blocks(spark, sf):
+    none = [F.lit(None).cast("string").alias(c) for c in ("chapter", "section", "article_title", "clause", "point")]
+    rows = chunks(spark, sf).select("*", *none)
+    return rows.select(F.col("chunk_pos").alias("doc_id"), F.md5(evidence.block(F.col("chunk_pos") % 9 + 1, evidence.path_of(), F.col("text"))).alias("digest"))
+
+
+FILE = "case when doc_id % 5 = 0 then 'khong-so.docx' when doc_id % 7 = 0 then 'Luat 31-2024-QH15.docx' else concat('luat_', cast(doc_id % 60 as string), case when doc_id % 2 = 0 then '-' else '/' end, cast(2000 + doc_id % 30 as string), '-qh', cast(doc_id % 17 as string), '.docx') end"
+NUMBER = "nullif(regexp_replace(regexp_extract(file, '(?i)([0-9]+[-/][0-9]{4}[-/]QH[0-9]+)', 1), '(?i)[-/]([0-9]{4})[-/]QH', '-\\1-QH'), '')"
+
+
+@query("document_numbers", f"""with f as (select doc_id, {FILE} file from documents), n as (select doc_id, {NUMBER} number from f)
+  select doc_id, coalesce(number, '') number, coalesce(case {' '.join(f"when number = '{k}' then '{v}'" for k, v in V.DOCUMENT_TITLES.items())} else number end, '') title from n""")
+def document_numbers(spark, sf):
+    number = structure.document_number_of(F.expr(FILE))
+    return docs(spark, sf).select("doc_id", F.coalesce(number, F.lit("")).alias("number"), F.coalesce(structure.title_of(number), F.lit("")).alias("title"))
+
+
 @query("vector_norm_check", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) norm, len(embedding)::int dim from embeddings")
 def vector_norm_check(spark, sf):
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.round(dense.norm(F.col("embedding")), 5).alias("norm"), F.size("embedding").alias("dim"))
