@@ -52,10 +52,10 @@ WRITTEN = r"^(?:[0-9]+|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3
 AT = r"(?<![^\s@()\[\]])[^\s@()\[\]]++\x20?(?:@|[(\[]at[)\]])\x20?[^\s@()\[\]]+(?<![.,;:!?'\x22])"
 SECRET = r"(?i)(?<![A-Za-z])(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+"
 CUES = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|reach me|card|visa|server|host|address|token|secret)"
-#: Forms of numbers, by which one is the first to fit; from 1.
+#: Forms of numbers, by which one is the first to fit; from 1. Groups repeat possessively: Java would nest a call for each of them.
 SHAPES = (
-    r"^(?:1[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$", r"^(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{4}|[0-9]{2}))$", r"^(?:(?:19|20)[0-9]{2}[\x20-]+)+(?:19|20)[0-9]{2}$",
-    r"^[0-9]{4}(?:[\x20-][0-9]{4})+$", r"^\(?0[0-9]{1,3}\)?(?:[\x20-][0-9]{2,})+$", r"^[0-9]{1,3}(?:[.\x20][0-9]{3})+$", r"^[0-9]+$",
+    r"^(?:1[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$", r"^(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{4}|[0-9]{2}))$", r"^(?:(?:19|20)[0-9]{2}[\x20-]+)++(?:19|20)[0-9]{2}$",
+    r"^[0-9]{4}(?:[\x20-][0-9]{4})++$", r"^\(?0[0-9]{1,3}\)?(?:[\x20-][0-9]{2,})++$", r"^[0-9]{1,3}(?:[.\x20][0-9]{3})++$", r"^[0-9]+$",
 )
 WINDOW = 24
 FEATURES = ("gen", "digits", "luhn", "quad", "plus", "at", "tld", "groups", "brackets", "shape", "mixed", "size", "glued", "cue")
