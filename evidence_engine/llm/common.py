@@ -93,7 +93,7 @@ def open_input(uri: str):
     return store.open_input_file(path)
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of at most this size: a task's texts are in the JVM and in Python beside each other. The same for all operators; a limit that the user has set stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) in ("67108864b", "64m"):

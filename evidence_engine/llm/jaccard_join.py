@@ -267,7 +267,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
     members, keys = placed(docs, n, percent)
     ids = keys.join(keys.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
-    return members.join(ids, "key", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("key").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
+    return members.join(spread_out(ids), "key", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("key").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -276,7 +276,7 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Texts without shingles all stay. Of rows that have both doc_id and text alike one stays.
     """
     members, keys = placed(docs, n, percent)
-    of = members.join(keys.select("key", "component"), "key", "left")
+    of = members.join(spread_out(keys.select("key", "component")), "key", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")).alias("first")
     kept = of.where("component is not null").groupBy("component").agg(first).select("first.doc_id", "first.digest")
     kept = kept.unionByName(of.where("component is null").select("doc_id", "digest")).select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))

@@ -104,6 +104,22 @@ def slices(batch, column: str, most: int = 8 << 20, rows: int = 8000) -> Iterato
         at = upto
 
 
+def gathered(batches, column: str, least: int = 6 << 20) -> Iterator:
+    """Batches put together until they have at least so many bytes of text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += pc.sum(pc.fill_null(pc.binary_length(batch.column(column)), 0)).as_py() or 0
+        if size >= least:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def released() -> None:
     """Give memory that a task has freed back to the system: Python workers live on between tasks, beside the JVM's heap."""
     import ctypes

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.llm.common import open_input, open_output, parallelism, shared_dir, written
-from evidence_engine.llm.pieces import PieceEncoder, released, slices
+from evidence_engine.llm.pieces import PieceEncoder, gathered, released, slices
 
 #: The public seekable format's numbers.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -166,7 +166,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
         zip_ = zstandard.ZstdCompressor(level=level)
         end, task = np.asarray([end_id], f"<u{width}").tobytes(), TaskContext.get().partitionId()
         writer, done = None, []
-        for batch in batches:
+        # pieces that texts share are looked up once in each part
+        for batch in gathered(batches, "text"):
             for part in slices(batch, "text"):
                 codes, ends = encoder.texts(part.column(1).to_pylist())
                 short = codes.astype(f"<u{width}")
