@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import pii_examples
+from evidence_engine.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -60,9 +61,9 @@ SHAPES = (
 WINDOW = 24
 FEATURES = ("gen", "digits", "luhn", "quad", "plus", "at", "tld", "groups", "brackets", "shape", "mixed", "size", "glued", "cue")
 GENERATORS = ("digits", "at", "secret")
-ROUNDS, DEPTH, RATE, PRECISION = 40, 4, 0.3, 0.99
+ROUNDS, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.99
 #: Labelled examples that the trees are fitted to.
-EXAMPLES = 4_000
+EXAMPLES = 2_400
 #: Characters of the parts that long texts are cut into to take pieces out.
 PART = 2048
 FOUND = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
@@ -271,9 +272,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
-    """pii_examples.made(n) as a table."""
+    """pii_examples.made(n) as a table; written at once, so that plans over it don't carry all texts."""
     rows = F.from_json(F.lit(json.dumps(pii_examples.made(n))), "array<struct<id:int,text:string,start:int,end:int,kind:string,personal:boolean>>")
-    return spark.range(1).select(F.inline(rows))
+    return written(spark.range(1).select(F.inline(rows)), "pii-examples")
 
 
 def judged_examples(spark: SparkSession, n: int = EXAMPLES, held_out: int = 5) -> list:
